@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import quality
+from brindle.llm import quality, secrets
 
-MODULES = (quality,)
+MODULES = (quality, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
