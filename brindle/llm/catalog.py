@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import quality, secrets
+from brindle.llm import quality, secrets, tokens
 
-MODULES = (quality, secrets)
+MODULES = (quality, secrets, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
