@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import packing, quality, secrets, tokens
+from brindle.llm import langid, packing, quality, secrets, tokens
 
-MODULES = (secrets, packing, tokens, quality)
+MODULES = (secrets, packing, tokens, langid, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,8 @@ _FOLDED_CODES = _BYTE_CODES.copy()
 _FOLDED_CODES[65:91] = _BYTE_CODES[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Breaks words at every ASCII character but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SHINGLE_CODES = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -99,10 +101,11 @@ class Words:
     first: np.ndarray
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
+def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _BLANK) -> Words:
+    """``breaks`` marks the bytes that no word holds; by default the six blanks."""
     raw, ends = text_bytes(column)
     inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = ~_BLANK[raw]
+    inside[1:-1] = ~breaks[raw]
     starts = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
     cut = ends[1:-1]
