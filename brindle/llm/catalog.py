@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import langid, packing, quality, secrets, tokens, toxicity
+from brindle.llm import decontam, langid, licenses, packing, quality, secrets, tokens, toxicity
 
-MODULES = (secrets, packing, tokens, langid, quality, toxicity)
+MODULES = (secrets, packing, decontam, tokens, licenses, langid, quality, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
