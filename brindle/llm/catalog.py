@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontam, jaccard, langid, licenses, packing, quality, secrets, tokens, toxicity
+from brindle.llm import decontam, jaccard, langid, licenses, packing, quality, repeats, secrets, tokens, toxicity
 
-MODULES = (secrets, packing, decontam, tokens, licenses, langid, quality, toxicity, jaccard)
+MODULES = (secrets, packing, repeats, decontam, tokens, licenses, langid, quality, toxicity, jaccard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,3 +44,8 @@ def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
+
+
+def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``_r1`` and ``_r2``: 128 bits of hash over ``columns``, the same in every run; equal rows share them."""
+    return df.withColumns({"_r1": F.xxhash64(*columns), "_r2": F.xxhash64(F.lit("row"), *reversed(columns))})

@@ -57,9 +57,9 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
 
 def set_id(values: np.ndarray) -> int:
     """A 64-bit hash of a set (signed); equal sets only, up to hash collisions."""
-    k = np.uint64(len(values))
-    total = tb.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + tb.mix(values).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int(tb.mix(np.array([total + k], np.uint64)).view(np.int64)[0])
+    total = np.array([tb.mix(values).sum(dtype=np.uint64)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total += np.array([tb.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(values))
+    return int(tb.mix(total).view(np.int64)[0])
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
