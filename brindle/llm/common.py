@@ -49,3 +49,8 @@ def text_or_empty(df: DataFrame, text_col: str) -> Column:
 def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with ``_r1`` and ``_r2``: 128 bits of hash over ``columns``, the same in every run; equal rows share them."""
     return df.withColumns({"_r1": F.xxhash64(*columns), "_r2": F.xxhash64(F.lit("row"), *reversed(columns))})
+
+
+def restored(out: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that an operator was given, under their names before it renamed those that clash with its results."""
+    return out.select(*[F.col(f"`{c}_in`").alias(c) if f"{c}_in" in out.columns and f"{c}_in" not in columns else F.col(f"`{c}`") for c in columns])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
-from brindle.llm.common import table, text_or_empty, written
+from brindle.llm.common import small, table, text_or_empty, with_row_key, written
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -200,6 +200,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     return keyed.drop(text_col).join(tiled.where(F.col("coverage") >= coverage), "key").select(*[f.name for f in kept], *RESULTS.fieldNames())
 
 
+def decontaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that hold no item of the benchmark. Rows are told apart by a hash of all of them that matters
+    here, the text, so null and repeated ids do no harm."""
+    keyed = with_row_key(df, text_col)
+    hits = written(contaminated(keyed.select("_r1", "_r2", text_col), benchmark, text_col=text_col, **options).select("_r1", "_r2").distinct(), "contaminated")
+    return keyed.join(small(hits), ["_r1", "_r2"], "left_anti").drop("_r1", "_r2")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return contaminated(docs, benchmark).select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "covered_tokens", "tiles", F.lit(True).alias("contaminated"))

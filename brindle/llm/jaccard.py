@@ -446,6 +446,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return out.select("id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that stay when one document of each component does: the one with the smallest id.
+
+    Rows that share an id and a text are one document; rows without an id can't be named and stay."""
+    found = written(near_duplicates(df, id_col=id_col, text_col=text_col, size=size, percent=percent).select("id", "component_id"), "near")
+    gone = written(found.where("id != component_id").select("id").distinct(), "gone")
+    again = written(found.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again")
+    own = df[id_col].cast("long")
+    kept = df.join(small(gone), own == gone["id"], "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(small(again), own == again["id"], "left_anti")
+    return once.unionByName(kept.join(small(again), own == again["id"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -95,26 +95,27 @@ def count_slice(column: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(w.first), "word_chars": chars, "n_symbols": symbols[ends[1:]] - symbols[ends[:-1]], "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines}
 
 
-def _count_batches(text_at: int):
+def _count_batches(text_at: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tb.as_strings(batch.column(text_at))
             parts = [count_slice(texts.slice(a, b - a)) for a, b in tb.slices(texts)]
             if parts:
-                keep = [c for i, c in enumerate(batch.columns) if i != text_at]
-                names = [c for i, c in enumerate(batch.schema.names) if i != text_at]
+                keep = [c for i, c in enumerate(batch.columns) if keep_text or i != text_at]
+                names = [c for i, c in enumerate(batch.schema.names) if keep_text or i != text_at]
                 counts = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COUNTS]
                 yield pa.RecordBatch.from_arrays(keep + counts, names=[*names, *COUNTS])
 
     return run
 
 
-def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without its text and with the base counts; see ``COUNTS``. Clashing columns become ``<name>_in``."""
+def text_counts(df: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df`` with the base counts (see ``COUNTS``) and, unless asked for, without its text. Clashing columns become ``<name>_in``."""
     df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c in COUNTS and c != text_col})
-    fields = [f for f in df.schema.fields if f.name != text_col]
+    df = df.withColumn(text_col, df[text_col].cast("string"))
+    fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType(fields + [T.StructField(c, T.LongType()) for c in COUNTS])
-    return df.mapInArrow(_count_batches(df.columns.index(text_col)), schema)
+    return df.mapInArrow(_count_batches(df.columns.index(text_col), keep_text), schema)
 
 
 def host_of(value):
@@ -170,17 +171,23 @@ def beta_prior(hosts: int, docs: int, failed: int, squares: float, docs2: float)
     return p * strength, (1 - p) * strength
 
 
-def judge(df: DataFrame, *, text_col: str = "text", host_col: str = "source", rules: Rules | None = None) -> DataFrame:
-    """Each row of ``df`` without its text, with counts, ``rules_failed`` (names), ``base_failed``, the host's shrunk
-    rate and ``kept``. Hosts join back by broadcast when counted to be few, else by a shuffled join that Spark splits."""
+def judge(df: DataFrame, *, text_col: str = "text", host_col: str = "source", rules: Rules | None = None, keep_text: bool = False) -> DataFrame:
+    """Each row of ``df`` with counts, ``rules_failed`` (names), ``base_failed``, the host's shrunk rate and ``kept``.
+
+    Hosts join back by broadcast when counted to be few, else by a shuffled join that Spark splits. Counts are written once
+    for the rates; with ``keep_text`` the verdicts are made in a second pass over the texts, so that no text is ever
+    written or shuffled here."""
     rules = rules or Rules()
     results = {"host", "rules_failed", "base_failed", "kept", "host_docs", "host_failed", "host_rate"}
     df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c in results and c not in (text_col, host_col)})
-    counted = text_counts(df.withColumn("host", host_of(df[host_col])), text_col)
+    df = df.withColumn("host", host_of(df[host_col]))
     tests = failures(rules)
     names = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda x: x.isNotNull())
-    judged = written(counted.withColumn("rules_failed", names), "quality")
+    judged = text_counts(df.select("host", text_col) if keep_text else df, text_col).withColumn("rules_failed", names)
+    judged = written(judged, "quality")
     hosts = host_rates(judged.select("host", (F.size("rules_failed") > 0).alias("failed")))
+    if keep_text:
+        judged = text_counts(df, text_col, keep_text=True).withColumn("rules_failed", names)
     base = F.array_contains("rules_failed", "few_words") | F.array_contains("rules_failed", "repeats")
     out = judged.join(small(hosts), "host", "left").withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & ~((F.col("host_rate") > rules.host_rate) & (F.size("rules_failed") > 0)))
