@@ -13,15 +13,18 @@ def _signature(df: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 50, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v, both long, not null): root is the smallest node of its component.
 
     A node's neighbours are never gathered: each step takes a grouped minimum (combined in each task first) and joins it
-    back, so a node with any number of links stays spread. Each round is written to the shared folder.
+    back, so a node with any number of links stays spread. Each round is written to the shared folder. With ``rounds``
+    it stops early: nodes with the same root are connected then, but connected ones may have different roots.
     """
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _signature(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    for done in range(most_rounds if before[0] else 0):
+        if done == rounds:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -36,4 +39,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if rounds is not None:
+        least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        return least
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

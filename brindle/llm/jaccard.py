@@ -44,6 +44,8 @@ HOT = 100_000
 #: Members of a tile that stand in one block.
 BLOCK = 2_048
 ENTRIES_A_PART = 250_000
+#: Members of tiles with the same main component that one task takes.
+FAMILY = 50_000
 
 
 # --- sets ---------------------------------------------------------------------------------------------------------------
@@ -72,8 +74,8 @@ def prefix_length(n, percent: int):
 
 
 def width_of(n: int) -> int:
-    """Bits of a signature: the power of two from twice the size, 256 at least."""
-    return max(256, 1 << int(2 * n - 1).bit_length())
+    """Bits of a signature: the power of two from four times the size, 256 at least."""
+    return max(256, 1 << int(4 * n - 1).bit_length())
 
 
 def signature(values: np.ndarray) -> bytes:
@@ -122,7 +124,7 @@ def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tup
     seen: set[int] = set()
     for batch in batches:
         column = tb.as_strings(batch.column(0))
-        for a, b in tb.slices(column, 4 << 20):
+        for a, b in tb.slices(column):
             out = []
             for values in sets_of(column.slice(a, b - a), size):
                 if len(values) and (sid := set_id(values)) not in seen:
@@ -336,11 +338,45 @@ def exact_links(pairs: DataFrame, texts: DataFrame, homes: DataFrame, size: int,
     return joined.select("a", F.col("key").alias("b"), "values_a", "values_b").mapInArrow(_exact_batches(percent), "u long, v long")
 
 
+class Signatures:
+    """Signatures of a task's sets by number, as rows of 64-bit words for each width; bounds many pairs at once."""
+
+    def __init__(self, bits: pa.Array, n: np.ndarray) -> None:
+        raw, ends = tb.text_bytes(bits.cast(pa.large_binary()))
+        self.n, self.width = n, np.diff(ends)
+        self.row = np.zeros(len(n), np.int64)
+        self.words: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width):
+            own = np.flatnonzero(self.width == width)
+            self.row[own] = np.arange(len(own))
+            self.words[int(width)] = raw[(ends[own][:, None] + np.arange(width)).ravel()].view(np.uint64).reshape(len(own), -1)
+
+    def _folded(self, numbers: np.ndarray, width: int, to: int) -> np.ndarray:
+        out = self.words[width][self.row[numbers]]
+        while width > to:
+            width //= 2
+            out = out[:, : width // 8] | out[:, width // 8 :]
+        return out
+
+    def slack(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """The most that each pair's overlap can be, less what it needs to link."""
+        differing = np.zeros(len(a), np.int64)
+        shape = self.width[a] << 32 | self.width[b]
+        for both in np.unique(shape):
+            at = np.flatnonzero(shape == both)
+            wide_a, wide_b = int(both) >> 32, int(both) & 0xFFFFFFFF
+            to = min(wide_a, wide_b)
+            for part in np.array_split(at, len(at) * to // (16 << 20) + 1):
+                x = self._folded(a[part], wide_a, to) ^ self._folded(b[part], wide_b, to)
+                differing[part] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return (self.n[a] + self.n[b] - differing) // 2 - needed(self.n[a], self.n[b], percent)
+
+
 def _cross_batches(percent: int):
     """Members of blocks -> (a, b) of different components that size, place and bitmap allow.
 
-    Rows: hash, block, sid, n, pos, root, home, bits. A pair is looked at where one member is at home; of two members at
-    home in the block, once.
+    Rows: family, share, hash, block, sid, n, pos, root, home, bits; a set's bits come once a task, in a row without a
+    tile. A pair is looked at where one member is at home, and once a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,52 +384,86 @@ def _cross_batches(percent: int):
         if not got:
             return
         rows = pa.Table.from_batches(got).combine_chunks()
-        number = lambda c: rows[c].to_numpy()
-        order = np.lexsort((number("n"), ~number("home"), number("block"), number("hash")))
-        tile, block, sid, n, pos, root, home = (number(c)[order] for c in ("hash", "block", "sid", "n", "pos", "root", "home"))
-        bits = rows["bits"].combine_chunks()
-        first = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (block[1:] != block[:-1])]) if len(tile) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(tile)])
-        done: set[tuple[int, int]] = set()
-        numbers: dict[int, int] = {}
-
-        def as_number(at: int) -> int:
-            if (s := int(sid[at])) not in numbers:
-                numbers[s] = int.from_bytes(bits[int(order[at])].as_py(), "little")
-            return numbers[s]
+        del got
+        is_mark = np.asarray(rows["bits"].is_valid())
+        marks = rows.filter(pa.array(is_mark))
+        known, first = np.unique(marks["sid"].to_numpy(), return_index=True)
+        if not len(known):
+            return
+        signatures = Signatures(marks["bits"].combine_chunks().take(pa.array(first)), marks["n"].to_numpy()[first])
+        members = rows.filter(pa.array(~is_mark))
+        del rows, marks
+        number = np.searchsorted(known, members["sid"].to_numpy())
+        tile, block, n, pos, root, home = (members[c].to_numpy() for c in ("hash", "block", "n", "pos", "root", "home"))
+        # in each block of a tile its commonest component goes last: its members need not meet each other
+        by = np.lexsort((root, block, tile))
+        head = np.r_[True, (tile[by][1:] != tile[by][:-1]) | (block[by][1:] != block[by][:-1]) | (root[by][1:] != root[by][:-1])]
+        size = np.zeros(len(by), np.int64)
+        size[by] = np.diff(np.r_[np.flatnonzero(head), len(by)])[np.cumsum(head) - 1]
+        order = np.lexsort((n, root, size, block, tile))
+        tile, block, n, pos, root, home, number = (x[order] for x in (tile, block, n, pos, root, home, number))
+        start = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (block[1:] != block[:-1])]) if len(tile) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[start, len(tile)])
+        codes: list[np.ndarray] = []
+        held = 0
 
         def check(i: np.ndarray, j: np.ndarray) -> None:
-            ok = (root[i] != root[j]) & (home[i] | home[j]) & feasible(n[i], pos[i], n[j], pos[j], percent)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                pair = (int(sid[x]), int(sid[y])) if sid[x] < sid[y] else (int(sid[y]), int(sid[x]))
-                if pair in looked:
-                    continue
-                looked.add(pair)
-                a, b, wide_a, wide_b = as_number(x), as_number(y), width_of(int(n[x])), width_of(int(n[y]))
-                while wide_a > wide_b:
-                    wide_a //= 2
-                    a = (a >> wide_a) | (a & (1 << wide_a) - 1)
-                while wide_b > wide_a:
-                    wide_b //= 2
-                    b = (b >> wide_b) | (b & (1 << wide_b) - 1)
-                both = int(n[x]) + int(n[y])
-                if (both - (a ^ b).bit_count()) // 2 >= -(-(percent * both) // (100 + percent)):
-                    done.add(pair)
-
-        looked: set[tuple[int, int]] = set()
+            nonlocal held
+            ok = (root[i] != root[j]) & (home[i] | home[j])
+            i, j = i[ok], j[ok]
+            ok = feasible(n[i], pos[i], n[j], pos[j], percent)
+            low, high = np.minimum(number[i[ok]], number[j[ok]]), np.maximum(number[i[ok]], number[j[ok]])
+            if len(low):
+                codes.append(np.unique(low * len(known) + high))
+                held += len(codes[-1])
+                if held > 2_000_000:
+                    codes[:] = [np.unique(np.concatenate(codes))]
+                    held = -len(codes[0])
+
         few = count <= 64
-        for lo in range(0, few.sum(), 20_000):
-            check(*tile_pairs(first[few][lo : lo + 20_000], count[few][lo : lo + 20_000]))
-        for f, c in zip(first[~few], count[~few], strict=True):
-            for x in range(f, f + c - 1):
-                j = np.arange(x + 1, f + c)
-                check(np.full(len(j), x), j)
-        a, b = zip(*sorted(done), strict=True) if done else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for lo in range(0, few.sum(), 5_000):
+            check(*tile_pairs(start[few][lo : lo + 5_000], count[few][lo : lo + 5_000]))
+        for f, c in zip(start[~few], count[~few], strict=True):
+            last = c - int((root[f : f + c] == root[f + c - 1]).sum())  # from here on all are of one component
+            for lo in range(f, f + last, 256):
+                up = min(lo + 256, f + last)
+                i, j = np.meshgrid(np.arange(lo, up), np.arange(lo, f + c), indexing="ij")
+                i, j = i.ravel(), j.ravel()
+                check(i[i < j], j[i < j])
+        pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+        a, b = pairs // len(known), pairs % len(known)
+        slack = np.concatenate([signatures.slack(a[k : k + 200_000], b[k : k + 200_000], percent) for k in range(0, len(a), 200_000)] or [np.zeros(0, np.int64)])
+        a, b = a[slack >= 0], b[slack >= 0]
+        yield pa.RecordBatch.from_arrays([pa.array(known[a]), pa.array(known[b])], names=["a", "b"])
 
     return run
 
 
+def _crossing(members: DataFrame, roots: DataFrame, marks: DataFrame, percent: int, tasks: int, hot: int) -> DataFrame:
+    """(a, b) of the pairs in tiles that join two components and that may link.
+
+    Tiles with the same main component hold much the same sets, so they go to the same tasks, a set's bits once to each;
+    a component with many such tiles is dealt over tasks in proportion.
+    """
+    tagged = members.select("hash", "sid", "n", "pos").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    of_tile = tagged.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash")
+    opened = of_tile.agg(F.count("*").alias("roots"), F.sum("k").alias("members"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
+    opened = written(opened.drop("roots"), "open-tiles")
+    families = opened.groupBy("main").agg(F.ceil(F.sum("members") / FAMILY).cast("int").alias("shares"))
+    placed = tagged.join(opened.join(families, "main"), "hash").withColumn("blocks", F.ceil(F.col("members") / hot).cast("int"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    stays = (F.col("blocks") == 1) | (F.col("root") == F.col("main"))
+    block = F.explode(F.when(stays, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spots = placed.withColumn("own", own).withColumn("block", block).withColumn("share", F.pmod(F.xxhash64("hash", "block"), F.col("shares")).cast("int"))
+    spots = written(spots.select(F.col("main").alias("family"), "share", "hash", "block", "sid", "n", "pos", "root", (F.col("own") == F.col("block")).alias("home")), "spots")
+    empty = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    once = spots.select("family", "share", "sid").distinct().join(marks, "sid")
+    once = once.select("family", "share", empty("hash", "long"), empty("block", "int"), "sid", "n", empty("pos", "long"), empty("root", "long"), empty("home", "boolean"), "bits")
+    rows = spots.withColumn("bits", F.lit(None).cast("binary")).unionByName(once)
+    found = rows.repartition(tasks, "family", "share").mapInArrow(_cross_batches(percent), "a long, b long")
+    return found.distinct()
+
+
 # --- the join -------------------------------------------------------------------------------------------------------------
 
 
@@ -422,23 +492,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     chosen = written(best.select("a", F.explode(F.array_distinct(F.array("one.b", "two.b"))).alias("b")), "first-pairs")
     homes = classes.select("sid", "id")
     links = written(exact_links(chosen, texts, homes, size, percent), "first-links")
-    roots = written(components(links), "first-roots")
+    roots = written(components(links, rounds=2), "first-roots")
 
-    tagged = members.select("hash", "sid", "n", "pos").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    spread = tagged.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low != high")
-    sized = written(spread.select("hash", "members"), "open-tiles")
-    opened = tagged.join(sized, "hash")
-    main = opened.where(F.col("members") > hot).groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    placed = opened.join(main, "hash", "left").withColumn("blocks", F.ceil(F.col("members") / hot).cast("int"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    stays = F.col("main").isNull() | (F.col("root") == F.col("main"))
-    block = F.explode(F.when(stays, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spots = placed.withColumn("own", own).withColumn("block", block)
-    wide = spots.join(marks.select("sid", "bits"), "sid").select("hash", "block", "sid", "n", "pos", "root", (F.col("own") == F.col("block")).alias("home"), "bits")
-    crossing = wide.repartition(tasks, "hash", "block").mapInArrow(_cross_batches(percent), "a long, b long").distinct()
-    more = written(exact_links(written(crossing, "other-pairs"), texts, homes, size, percent), "other-links")
-    joined = links.unionByName(more)
-    final = components(joined)
+    crossing = written(_crossing(members, roots, marks, percent, tasks, hot), "other-pairs")
+    more = written(exact_links(crossing, texts, homes, size, percent), "other-links")
+    final = components(links.unionByName(more))
 
     lowest = final.join(homes.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
     of_sets = homes.join(final.join(lowest, "root").select(F.col("node").alias("sid"), "component_id"), "sid", "left").select("sid", F.coalesce("component_id", "id").alias("component_id"))
