@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import overview
+from brindle.plans import changes, lookups, overview, search
 
-MODULES = (overview,)
+MODULES = (overview, lookups, changes, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
