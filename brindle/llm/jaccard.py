@@ -492,14 +492,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     chosen = written(best.select("a", F.explode(F.array_distinct(F.array("one.b", "two.b"))).alias("b")), "first-pairs")
     homes = classes.select("sid", "id")
     links = written(exact_links(chosen, texts, homes, size, percent), "first-links")
-    roots = written(components(links, rounds=2), "first-roots")
+    roots = written(components(links, rounds=4), "first-roots")
 
     crossing = written(_crossing(members, roots, marks, percent, tasks, hot), "other-pairs")
     more = written(exact_links(crossing, texts, homes, size, percent), "other-links")
-    final = components(links.unionByName(more))
-
-    lowest = final.join(homes.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
-    of_sets = homes.join(final.join(lowest, "root").select(F.col("node").alias("sid"), "component_id"), "sid", "left").select("sid", F.coalesce("component_id", "id").alias("component_id"))
+    # links between the first components only: few, however many links a family has
+    root_of = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"}
+    between = links.unionByName(more).join(root_of["u"], "u", "left").join(root_of["v"], "v", "left")
+    top = components(between.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u != v").distinct())
+
+    first = homes.join(roots.select(F.col("node").alias("sid"), F.col("root").alias("low")), "sid", "left").withColumn("low", F.coalesce("low", "sid"))
+    placed = first.join(top.select(F.col("node").alias("low"), "root"), "low", "left").select("sid", "id", F.coalesce("root", "low").alias("root"))
+    placed = written(placed, "placed")
+    of_sets = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("sid", "component_id")
     out = rows.select("id", "n", "sid").join(of_sets, "sid", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
