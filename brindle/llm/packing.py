@@ -32,7 +32,8 @@ from brindle.llm.common import small, table, written
 CAPACITY = 4096
 #: Enumerated patterns that enter the fit; others' lengths are left to best fit.
 PATTERNS = 8_000
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 800_000
+LETTERS_TOGETHER = 2_000
 _MARKS = b".,;:!?"
 
 
@@ -50,6 +51,27 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encodes chunks and keeps them. Those of letters only are one pre-token each, which ends in the one token that
+        ends a word: they are encoded many to a text and cut apart there."""
+        letters, others = [], []
+        for c in chunks:
+            (letters if c.decode().isalpha() else others).append(c)
+        groups = [letters[i : i + LETTERS_TOGETHER] for i in range(0, len(letters), LETTERS_TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(group):
+                others += group
+                continue
+            data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update((c, data[a:b]) for c, a, b in zip(group, edges[:-1], edges[1:], strict=True))
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+        self.known.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(others, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -64,9 +86,7 @@ class ChunkEncoder:
                 missing = set(chain.from_iterable(split))
             # a mark after a letter or digit is a pre-token of its own, so only the word before it needs the library
             marked = {c for c in missing if c[-1] in _MARKS and c[-2:-1].isalnum()}
-            plain = [c for c in (missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked}) if c not in self.known]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in plain], add_special_tokens=False)
-            self.known.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(plain, found, strict=True))
+            self._learn([c for c in (missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked}) if c not in self.known])
             self.known.update((c, self.known[c[:-1]] + self.known[c[-1:]]) for c in marked)
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
