@@ -3,26 +3,30 @@
 Three kinds are found in the text itself (the base findings) and in every layer that can be unwrapped from it. A
 layer is a text with, for each of its characters, the range of the original text that it came from. Unwrapping:
 percent-encoding and backslash escapes decode a layer as a whole (the characters between them stay, so a secret may
-be half encoded); base64 runs decode to layers of their own, through any number of zlib, gzip, bzip2, xz or zstd
-frames. Each new layer goes on the worklist and is scanned and unwrapped in turn until nothing new appears; a layer
+be half encoded); base64 runs, joined across line breaks, decode to layers of their own at each of the four alignments,
+and so does every zlib, gzip, bzip2, xz or zstd frame in them or in another frame. Bytes that are no UTF-8 spoil nothing but
+themselves; bytes in which neither a secret nor a further encoding has room are not entered. Each new layer goes on the worklist and is scanned and unwrapped in turn until nothing new appears; a layer
 seen before at the same place is not entered again, which ends cycles. A find in a layer is reported at the range of
 the original text that it came from.
 
 Defined results: a null text is empty; an empty text has no findings. Every row is judged alone, so repeated rows give
 repeated results and no rows give none. Columns of the input pass through; one that clashes with a result is renamed
-``<name>_in``. A frame that would expand beyond ``MAX_LAYER`` bytes is not entered and is counted in ``refused``.
-Memory follows the longest text and ``MAX_LAYER``.
+``<name>_in``. A frame that expands beyond ``MAX_LAYER`` bytes is scanned in overlapping windows; counted in ``refused``
+is what a window's end may cut: a run of over half a window, and a frame inside such a frame. Memory follows the longest
+text and ``MAX_LAYER``.
 """
 
 from __future__ import annotations
 
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -41,7 +45,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*|[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+)")
+_FRAME = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_SHORTEST = 12  # token=abcdef
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % _SHORTEST)
+_STEP = 1 << 20
+_OVERLAP = 1 << 20
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.:%\\&#;{}\"' \t\r\n"
 _TO_STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -118,14 +129,11 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match],
     return Layer("".join(pieces), at, to, layer.depth + 1)
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    try:
-        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
     out, at = [], m.start()
     for c in text:
-        size = 3 * len(c.encode())
+        size = 3 * len(c.encode("utf-8", "surrogateescape"))
         out.append((c, at, at + size))
         at += size
     return out
@@ -136,93 +144,231 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), m.start(), m.end())] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(data: bytes) -> tuple[bytes, bool] | None:
-    """One compressed frame taken off; the flag tells that it is too large. None if the data isn't such a frame."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_LAYER)
-            return (out, bool(d.unconsumed_tail)) if out else None
-        if data[:3] == b"BZh":
-            d2 = bz2.BZ2Decompressor()
-            return d2.decompress(data, MAX_LAYER), not d2.eof and not d2.needs_input
-        if data[:6] == b"\xfd7zXZ\x00":
-            d3 = lzma.LZMADecompressor()
-            return d3.decompress(data, MAX_LAYER), not d3.eof and not d3.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MAX_LAYER)
-                return out, bool(r.read(1))
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
-    return None
+class _Input:
+    """Bytes that come in pieces: ``peek`` looks ahead, ``take`` counts what goes, ``back`` returns what wasn't needed."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.have, self.taken, self.whole = pieces, b"", 0, True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.have) < n and (piece := next(self.pieces, None)) is not None:
+            self.have += piece
+        return self.have[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.have = self.have[len(out) :]
+        self.taken += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.have = data + self.have
+        self.taken -= len(data)
+
+
+def _inflated(source: _Input) -> Iterator[bytes]:
+    """Output of the compressed frames that follow one another from here on, in bounded pieces. A damaged or cut frame
+    gives what comes before the damage, and ``source.whole`` is then false."""
+    while _FRAME.match(head := source.peek(10)):
+        zstd = head[:1] == b"\x28"
+        packed = head[:2] == b"\x1f\x8b" or head[:1] == b"x"
+        d = zstandard.ZstdDecompressor().decompressobj() if zstd else zlib.decompressobj(47) if packed else bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor()
+        try:
+            while not d.eof and (piece := source.take(512 if zstd else 4096)):  # 512 bytes of zstd expand to 16 MB at most
+                yield d.decompress(piece) if zstd else d.decompress(piece, _STEP)
+                while not d.eof and not zstd and (d.unconsumed_tail if packed else not d.needs_input):
+                    yield d.decompress(d.unconsumed_tail if packed else b"", _STEP)
+            if packed:
+                yield d.flush()
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+            source.whole = False
+            return
+        if not d.eof:
+            source.whole = False
+            return
+        source.back(d.unused_data)
+
+
+def _windows(pieces: Iterator[bytes], refused: list[int]) -> Iterator[tuple[bytes, bool]]:
+    """The output joined, with a flag whether there is more of it. Beyond ``MAX_LAYER`` bytes it comes in windows. The next
+    one starts before the run of characters that the last one ends in, so nothing that can be found is cut; a run of more
+    than half a window is cut and counted in ``refused``."""
+    parts: list[bytes] = []
+    size, over, counted = 0, False, False
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size >= MAX_LAYER:
+            window, over = b"".join(parts), True
+            yield window, True
+            back = max(len(window) - len(window.rstrip(_RUN)), min(_OVERLAP, MAX_LAYER // 4))
+            if back > MAX_LAYER // 2:
+                back = min(_OVERLAP, MAX_LAYER // 4)
+                refused[0] += not counted
+                counted = True
+            parts, size = [window[-back:]], back
+    if size:
+        yield b"".join(parts), over
+
+
+def _outputs(make: Callable[[], Iterator[bytes]], refused: list[int], depth: int = 0) -> Iterator[tuple[bytes, bool]]:
+    """Windows of what ``make`` gives; where it is larger than one and a frame itself, of that frame's output too."""
+    deep = None
+    for window, part in _windows(make(), refused):
+        yield window, part
+        if deep is None:
+            deep = part and _FRAME.match(window) is not None
+    if deep and depth < 64:
+        yield from _outputs(lambda: _inflated(_Input(make())), refused, depth + 1)
+    elif deep:
+        refused[0] += 1
+
+
+def _opened(data: bytes, place: tuple[int, int] | None, part: bool, refused: list[int], cuts: list[tuple[int, int]]) -> Iterator[tuple[bytes, tuple[int, int], bool]]:
+    """(output, range of bytes it came from, whether it is a window only) of the frames anywhere in the data; ranges of
+    undamaged frames go to ``cuts``."""
+    at = 0
+    while m := _FRAME.search(data, at):
+        start = m.start()
+        pieces = lambda start=start: (data[i : i + 65_536] for i in range(start, len(data), 65_536))
+        source = _Input(pieces())
+        windows = _windows(_inflated(source), [0])
+        first, over = next(windows, (b"", False))
+        if over:
+            for _ in windows:
+                pass  # to the end of the frame
+        whole = source.whole and source.taken > 0
+        where = place or (start, start + source.taken)
+        if over:
+            for window, _ in _outputs(lambda pieces=pieces: _inflated(_Input(pieces())), refused):
+                yield window, where, True
+        elif first:
+            yield first, where, part
+        if part and first and not whole:
+            refused[0] += 1  # a frame across the end of a window
+        if whole:
+            cuts.append((start, start + source.taken))
+        at = start + (source.taken if whole else 1)
+
+
+def _without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
+    """The data with NUL in place of each range."""
+    if not cuts:
+        return data
+    out = bytearray(data)
+    for start, end in cuts:
+        out[start:end] = bytes(len(out[start:end]))
+    return bytes(out)
+
+
+def _digest(data: bytes) -> bytes:
+    return data if len(data) < 64 else hashlib.blake2b(data, digest_size=32).digest()
+
+
+def _unpacked(data: bytes, refused: list[int], cuts: list[tuple[int, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """Outputs of the frames in the data and of the frames in these, each without the frames in it and with the range of
+    ``data`` it came from. The ranges of undamaged frames go to ``cuts``."""
+    met: set[tuple[bytes, tuple[int, int]]] = set()
+    work = [(_opened(data, None, False, refused, cuts), data, (0, 0), cuts)]
+    while work:
+        got = next(work[-1][0], None)
+        if got is None:
+            _, out, where, inner = work.pop()
+            if work:
+                yield _without(out, inner), *where
+            continue
+        out, where, part = got
+        key = (_digest(out), where)
+        if key not in met:
+            met.add(key)
+            work.append((_opened(out, where, part, refused, inner := []), out, where, inner))
 
 
 def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text.translate(_PLAIN_BLANKS).isprintable() and text else None
+    """The text of the bytes, bytes that are no UTF-8 as lone surrogates. None where no secret and no further encoding can
+    stand in it: the shortest of them is a stretch of ``_SHORTEST`` printable ASCII characters."""
+    if not _STRETCH.search(data):
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+        return text if text.translate(_PLAIN_BLANKS).isprintable() and text else None
+    return data.decode("utf-8", "surrogateescape")
 
 
 _PLAIN_BLANKS = {9: 32, 10: 32, 13: 32}
 
 
 def _base64_layers(layer: Layer, refused: list[int]) -> Iterator[Layer]:
+    """Runs are joined across line breaks. A payload may begin and end anywhere in its run: decoded at each of the four
+    alignments it stands whole in one of the results, with other bytes around it."""
     for m in _BASE64.finditer(layer.text):
         run = m[0]
+        heads, places = [0], [m.start()]  # the lines of the run, in the joined run and in the layer
+        if "\n" in run:
+            lines = [(x[0], m.start() + x.start()) for x in _LINE.finditer(run)]
+            run = "".join(line for line, _ in lines)
+            places = [place for _, place in lines]
+            heads = list(accumulate([0, *(len(line) for line, _ in lines[:-1])]))
+        if len(run) < 16:
+            continue
         standard = run.translate(_TO_STANDARD) if "-" in run or "_" in run else run
-        for skip in range(4) if len(run) >= 20 else (0,):  # the run may begin with a few foreign characters
+
+        def origin(first: int, end: int, heads=heads, places=places, length=len(run)) -> tuple[int, int]:
+            end = min(end, length)
+            i, j = bisect_right(heads, first) - 1, bisect_right(heads, end - 1) - 1
+            return layer.origin(places[i] + first - heads[i], places[j] + end - heads[j])
+
+        decoded, packed = [], []
+        for skip in range(4):
             body = standard[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
             data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-            packed = False
-            while (inner := _unpacked(data)) is not None:
-                data, over = inner
-                packed = True
-                if over:
-                    refused[0] += 1
-                    data = b""
-                    break
-            text = _readable(data)
+            decoded.append(data)
+            cuts: list[tuple[int, int]] = []
+            for out, start, end in _unpacked(data, refused, cuts):
+                if (text := _readable(out)) is not None:
+                    yield Layer(text, [0], [(*origin(skip + start * 8 // 6, skip + (end * 8 + 5) // 6), False)], layer.depth + 1)
+            packed += [(skip + start * 8 // 6, skip + (end * 8 + 5) // 6) for start, end in cuts]
+        for skip, data in enumerate(decoded):  # compressed bytes are no text at any alignment
+            text = _readable(_without(data, [(max(start - skip, 0) * 6 // 8, max(end - skip, 0) * 6 // 8) for start, end in packed]))
             if text is None:
                 continue
-            start = m.start() + skip
-            if packed:
-                at, to = [0], [(*layer.origin(start, m.end()), False)]
-            else:  # three bytes come from four characters
-                at, to, n = [], [], 0
-                sizes = [1] * len(text) if text.isascii() else [len(c.encode()) for c in text]
-                for i, size in enumerate(sizes):
-                    at.append(i)
-                    first, last = start + n * 8 // 6, start + ((n + size) * 8 + 5) // 6
-                    to.append((*layer.origin(first, min(last, m.end())), False))
-                    n += size
+            at, to, n = [], [], 0  # three bytes come from four characters
+            sizes = [1] * len(text) if text.isascii() else [len(c.encode("utf-8", "surrogateescape")) for c in text]
+            for i, size in enumerate(sizes):
+                at.append(i)
+                to.append((*origin(skip + n * 8 // 6, skip + ((n + size) * 8 + 5) // 6), False))
+                n += size
             yield Layer(text, at, to, layer.depth + 1)
-            break
+
+
+def _children(layer: Layer, refused: list[int]) -> Iterator[Layer | None]:
+    if "%" in layer.text:
+        yield _substituted(layer, _PERCENT, _percent)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _substituted(layer, _ESCAPE, _escape)
+    yield from _base64_layers(layer, refused)
 
 
 def scan(text: str) -> tuple[list[Span], set[Span], int, int]:
     """(base findings, all findings, layers entered, frames refused) of one text."""
     base = base_spans(text)
     found, refused, layers = set(base), [0], 0
-    work = [Layer(text, [0], [(0, len(text), True)], 0)]
+    root = Layer(text, [0], [(0, len(text), True)], 0)
     seen = {(text, 0, len(text))}
+    work = [_children(root, refused)]  # one layer a level is held
     while work:
-        layer = work.pop()
-        if layer.depth:
-            layers += 1
-            found.update((o[0], kind, o[1]) for start, kind, end in base_spans(layer.text) for o in (layer.origin(start, end),))
-        new = [_substituted(layer, _PERCENT, _percent)] if "%" in layer.text else []
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append(_substituted(layer, _ESCAPE, _escape))
-        for x in (*new, *_base64_layers(layer, refused)):
-            if x is not None and x.text:
-                key = (x.text, x.to[0][0], x.to[-1][1])
-                if key not in seen:
-                    seen.add(key)
-                    work.append(x)
+        layer = next(work[-1], root)
+        if layer is root:
+            work.pop()
+        elif layer is not None and layer.text:
+            key = (layer.text if len(layer.text) < 4096 else _digest(layer.text.encode("utf-8", "surrogatepass")), layer.to[0][0], layer.to[-1][1])
+            if key not in seen:
+                seen.add(key)
+                layers += 1
+                found.update((o[0], kind, o[1]) for start, kind, end in base_spans(layer.text) for o in (layer.origin(start, end),))
+                work.append(_children(layer, refused))
     return base, found, layers, refused[0]
 
 
