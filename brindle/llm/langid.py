@@ -135,6 +135,12 @@ RESULTS = T.StructType([
 ])
 
 
+def _ascii_lettered(w: tb.Words) -> np.ndarray:
+    """Whether each row has an ASCII letter."""
+    count = np.concatenate([[0], np.cumsum((w.raw | 32) - np.uint8(97) < 26)])
+    return count[w.ends_of_rows[1:]] > count[w.ends_of_rows[:-1]]
+
+
 def _label_batch(model: Model, column: pa.Array) -> tuple[list[str], list[float], pa.Array]:
     parts = [model.word_scores(column.slice(a, b - a)) for a, b in tb.slices(column)]
     n, texts = len(model.languages), len(column)
@@ -154,13 +160,9 @@ def _label_batch(model: Model, column: pa.Array) -> tuple[list[str], list[float]
     np.add.at(weight, (row[~neutral], labels[~neutral]), (end - start)[~neutral])
     total = weight.sum(axis=1)
     best = weight.argmax(axis=1)
-    lettered = total > 0
-    for i in np.flatnonzero(lettered):
-        if weight[i, best[i]] < 200:  # letters are told for sure where few bytes speak for them
-            lettered[i] = any(map(str.isalpha, column[i].as_py()))
+    lettered = np.concatenate([_ascii_lettered(w) for _, w in parts])
     for i in np.flatnonzero(~lettered & (counts > 0)):
-        if total[i] == 0 and any(map(str.isalpha, column[i].as_py())):
-            lettered[i] = True
+        lettered[i] = any(map(str.isalpha, column[i].as_py()))  # stops at the first letter
     names = [model.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
     share = np.where(lettered, weight[np.arange(texts), best] / np.maximum(total, 1), 0.0)
     head = np.zeros(len(row), bool)
