@@ -159,7 +159,7 @@ class Frequent:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+        self.hashes, self.counts, self.hot = hashes[order], counts[order], HOT
 
     def prefix(self, values: np.ndarray, percent: int) -> np.ndarray:
         keep = int(prefix_length(len(values), percent))
@@ -178,7 +178,7 @@ class Frequent:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        shares = np.where(self.hashes[at] == hashes, self.counts[at] // HOT + 1, 1)
+        shares = np.where(self.hashes[at] == hashes, self.counts[at] // self.hot + 1, 1)
         return np.where(shares > 1, sids.astype(np.uint64) % shares.astype(np.uint64), 0).astype(np.int64)
 
 
@@ -239,12 +239,14 @@ def _tile_batches(percent: int, small_tile: int, frequent: Frequent):
         often = np.zeros(len(first), bool)
         if len(frequent.hashes) and len(first):
             at = np.minimum(np.searchsorted(frequent.hashes, entries["hash"][first]), len(frequent.hashes) - 1)
-            often = (frequent.hashes[at] == entries["hash"][first]) & (frequent.counts[at] >= HOT)
+            often = (frequent.hashes[at] == entries["hash"][first]) & (frequent.counts[at] >= frequent.hot)
         entries = entries[np.repeat((count > 1) | often, count)]
+        often = often[(count > 1) | often]
         entries = entries[np.lexsort((entries["n"], entries["hash"]))]
         first, count = _runs(entries["hash"])
         n, pos = entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
-        keep = np.repeat(count > small_tile, count)  # pairs of large tiles are looked at later, in blocks
+        # pairs of large tiles are looked at later, in blocks; of a hot shingle's tile only a share is here
+        keep = np.repeat((count > small_tile) | often, count)
         some = count <= small_tile
         i, j = tile_pairs(first[some], count[some])
         ok = feasible(n[i], pos[i], n[j], pos[j], percent)
