@@ -7,8 +7,8 @@ allowed between them. Rules are tried from the most specific to the least, and o
 (``IMPLIED``) is not reported beside it. Everything is an expression over the row: no shuffle, no Python.
 
 Defined results: a null or empty text has no sentences and no licences. Repeated rows repeat; no rows give none; extra
-columns pass through, clashing ones as ``<name>_in``. A text without any of the hint words, at least one of which stands
-in every known sentence, is not cut at all. Matching reads whole texts of any length.
+columns pass through, clashing ones as ``<name>_in``. A text without any of the hints, at least one of which stands within
+a word of every known sentence, is not cut at all. Matching reads whole texts of any length.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ RULES = [
 ]
 # fixed values: a licence on the left covers the one on the right
 IMPLIED = {"BSD-3-Clause": "BSD-2-Clause"}
-HINTS = ("licen", "permission", "warranty", "copy", "redistribut", "license", "rights reserved", "public domain", "free software", "endorse")
+# each within a word, since white space and punctuation between words may be any
+HINTS = ("licen", "permission", "warranty", "copy", "redistribut", "reserved", "unencumbered", "endorse")
 
 
 def _normal(sentence: str) -> str:
