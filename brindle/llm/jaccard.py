@@ -1,4 +1,6 @@
-"""N-gram Jaccard join: every pair of shingle sets at or above a similarity, as connected components.
+"""N-gram Jaccard join: the connected components of all pairs of shingle sets at or above a similarity.
+
+Components are the result. Links inside a component that was found already are not enumerated, so there is no list of pairs.
 
 Equal sets are one class from the start, however many rows hold it. For the rest:
 
