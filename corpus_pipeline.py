@@ -10,8 +10,7 @@ effect. A stage works on every row that the one before it kept; between stages t
 5. packing: documents are tokenised, cut and packed into sequences of 4096 tokens.
 
 Null and empty texts have no words and go in the first stage. No rows give no rows. Extra columns pass through stages 1
-to 4. ``ORACLE_SQL`` is None: SQL has no near-duplicate components at this size, decoding layers or vocabularies; tests hold
-the stages against brute-force versions.
+to 4. ``ORACLE_SQL`` is None: SQL has no near-duplicate components at this size, decoding layers or vocabularies.
 """
 
 from __future__ import annotations
