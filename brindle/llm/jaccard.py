@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, text_or_empty, written
@@ -517,15 +518,33 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``df`` that stay when one document of each component does: the one with the smallest id.
 
     Rows that share an id and a text are one document; rows without an id can't be named and stay."""
-    found = written(near_duplicates(df, id_col=id_col, text_col=text_col, size=size, percent=percent).select("id", "component_id"), "near")
-    gone = written(found.where("id != component_id").select("id").distinct(), "gone")
+    found = written(near_duplicates(df, id_col=id_col, text_col=text_col, size=size, percent=percent).select("id", "set_id", "component_id"), "near")
+    gone = written(found.where("id != component_id").select("id", "set_id").distinct(), "gone")
     again = written(found.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again")
-    own = df[id_col].cast("long")
-    kept = df.join(small(gone), own == gone["id"], "left_anti")
+    own, ids = df[id_col].cast("long"), gone.select("id").distinct()
     if not again.limit(1).count():
-        return kept
-    once = kept.join(small(again), own == again["id"], "left_anti")
-    return once.unionByName(kept.join(small(again), own == again["id"], "left_semi").dropDuplicates([id_col, text_col]))
+        return df.join(small(ids), own == ids["id"], "left_anti")
+    once = df.join(small(again), own == again["id"], "left_anti").join(small(ids), own == ids["id"], "left_anti")
+    # rows that share an id may be different documents: these go by id and set
+    repeated = df.join(small(again), own == again["id"], "left_semi").dropDuplicates([id_col, text_col])
+    repeated = repeated.withColumn("_text", text_or_empty(repeated, text_col))
+    fields = T.StructType([*df.schema.fields, T.StructField("_set", T.LongType())])
+    repeated = repeated.mapInArrow(_with_set_batches(size), fields)
+    sets = gone.select(F.col("id").alias("_id"), F.col("set_id").alias("_gone"))
+    stays = repeated.join(small(sets), (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_set") == F.col("_gone")), "left_anti")
+    return once.unionByName(stays.drop("_set"))
+
+
+def _with_set_batches(size: int):
+    """Rows with the text last -> the rows with its set's id in the place of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = tb.as_strings(batch.column(batch.num_columns - 1))
+            ids = [set_id(v) if len(v) else None for a, b in tb.slices(column) for v in sets_of(column.slice(a, b - a), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64())], names=[*batch.schema.names[:-1], "_set"])
+
+    return run
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
