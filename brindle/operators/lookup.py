@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,68 @@ def where_given(df: DataFrame, wanted: dict) -> DataFrame:
     return where_equal(df, given) if given else df
 
 
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The live row with this primary key, if there is one; key and mark reach the scan."""
+    return live(where_equal(df, {key: value})).limit(1)
+
+
+def by_keys(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows with one of these keys; no keys give no rows, without reading any."""
+    if not values:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.where(F.col(key).isin(*values))
+
+
+def first_match(df: DataFrame, wanted: dict, order: list[Column]) -> DataFrame:
+    """The first live row, in ``order``, with all of these values."""
+    return live(where_equal(df, wanted)).orderBy(*order).limit(1)
+
+
+def or_fail(rows: DataFrame, code: str) -> DataFrame:
+    """One row, or the error ``code`` when the plan runs and there is none: a global aggregate has a row in any case."""
+    one = rows.limit(1).agg(F.first(F.struct("*")).alias("_row"))
+    return one.select(F.when(F.col("_row").isNull(), F.raise_error(F.lit(code))).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
+def ordered(*specs: str) -> list[Column]:
+    """Sort columns of "name" or "name desc" with NULL as the largest value: last when ascending, first when descending."""
+    return [F.col(s.split()[0]).desc_nulls_first() if s.endswith(" desc") else F.col(s.split()[0]).asc_nulls_last() for s in specs]
+
+
+def allowed_order(spec: str | None, allowed: tuple[str, ...], key: str) -> list[Column]:
+    """The order that a caller asked for, from an allow-list, with ``key`` to part ties; unknown names are errors."""
+    if spec and spec.split()[0] not in allowed:
+        raise ValueError(f"can't order by {spec!r}")
+    return ordered(*([spec] if spec else []), key)
+
+
+def numbered(page: DataFrame, order: list[Column]) -> DataFrame:
+    """A page's rows with their places from 1 on; only for rows that a limit bounds."""
+    return page.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+
+
+def page_if_asked(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """A page if both numbers are positive, else all rows."""
+    return df.orderBy(*order).offset((page - 1) * size).limit(size) if page > 0 and size > 0 else df.orderBy(*order)
+
+
+def checked_page(df: DataFrame, order: list[Column], limit: int, offset: int, most: int = 100) -> DataFrame:
+    """Like ``offset_page``, but numbers out of range are errors."""
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError(f"limit has to be within 1 and {most}, offset not negative")
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def first_items(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` items; 0 means all of them."""
+    return df.orderBy(*order).limit(most) if most > 0 else df
+
+
+def optional_rows(spark: SparkSession, name: str, schema: str) -> DataFrame:
+    """A table that need not exist yet: no rows of ``schema`` then. Other errors of reading it are not swallowed."""
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
+
+
 def offset_page(df: DataFrame, order: list[Column], page: int, size: int, most: int = 100) -> DataFrame:
     """Page and size clamped to 1 and 1..most. Only a page's rows leave the top-n sort of each task."""
     page, size = max(1, page), min(max(1, size), most)
@@ -60,9 +122,9 @@ def merged(local: DataFrame, remote: DataFrame, key: str, columns: list[str]) ->
     return both.unionByName(remote.join(local, key, "left_anti").select(key, *columns, F.lit("remote").alias("origin")))
 
 
-def in_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows by a list of ids (pos, key): its order and repeats stay, missing ids fall out."""
-    return ids.join(rows, key, "inner")
+def in_order(ids: DataFrame, rows: DataFrame, key: str, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Rows by a list of ids (pos, key), sorted by its ``order``: repeats stay, missing ids fall out."""
+    return ids.join(rows, key, "inner").orderBy(*order)
 
 
 def marked(df: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:

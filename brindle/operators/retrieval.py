@@ -11,11 +11,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, least: float) -> DataFrame:
+def similar(vectors: DataFrame, query: DataFrame, column: str) -> DataFrame:
+    """``vectors`` with the cosine of ``column`` to one query vector. ``query`` has one row and one column; it is read by a
+    scalar subquery when the plan runs, and without a row every score is NULL."""
+    return vectors.withColumn("_q", query.scalar()).withColumn("score", F.round(cosine(F.col(column), F.col("_q")), 5)).drop("_q")
+
+
+def nearest(vectors: DataFrame, query: DataFrame, k: int, least: float) -> DataFrame:
     """The k vectors with the largest cosine to one query, of those that reach ``least``; a top-k in each task, then one."""
-    literal = F.array(*map(F.lit, map(float, query)))
-    scored = vectors.withColumn("score", F.round(cosine(F.col("embedding"), literal), 5))
-    return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "vec_id").limit(k)
+    return similar(vectors, query, "embedding").where(F.col("score") >= least).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
@@ -26,6 +30,23 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -
     return each.select(id_col, "chunk_index", F.substring(F.col(text_col), F.col("_i") * step + 1, F.lit(size)).alias("chunk"))
 
 
+def separated_chunks(df: DataFrame, id_col: str, text_col: str, separator: str, size: int) -> DataFrame:
+    """Pieces between separators, put together in order as long as a chunk has at most ``size`` code points. A longer piece
+    is cut; empty pieces fall out. Each text is one fold over its own pieces."""
+    length = lambda x: F.greatest(F.ceil(F.length(x) / size).cast("int"), F.lit(1))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), length(x) - 1), lambda i: F.substring(x, i * size + 1, F.lit(size)))
+    pieces = F.filter(F.flatten(F.transform(F.split(text_col, separator), cut)), lambda x: x != "")
+
+    def joined(state: Column, x: Column) -> Column:
+        fits = (F.length(state["open"]) > 0) & (F.length(state["open"]) + F.length(x) + 1 <= size)
+        done = F.when(fits | (state["open"] == ""), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(state["open"], F.lit(separator), x)).otherwise(x).alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    folded = F.aggregate(pieces, start, joined, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return df.select(id_col, F.posexplode(folded).alias("chunk_index", "chunk"))
+
+
 def neighbours(df: DataFrame, by: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("pre", F.lag(order).over(w)).withColumn("next", F.lead(order).over(w))

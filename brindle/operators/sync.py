@@ -29,3 +29,49 @@ def error_samples(done: DataFrame, by: list[str], pos: str, text: str, most: int
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(pos))
     first = done.where("outcome = 'failed'").withColumn("_n", nth).where(F.col("_n") <= most)
     return first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", text))), lambda x: x[text]), "; ").alias("errors"))
+
+
+def run_plan(*, force_full: Column, mode: Column, cursor: Column) -> Column:
+    """Whether a run goes on from its cursor or fetches everything."""
+    return F.when(~force_full & (mode != "full") & cursor.isNotNull(), "incremental").otherwise("full")
+
+
+def source_status(run: Column, before: Column) -> Column:
+    """What a source's status is after a run: an error if all failed, else paused if it was, else active."""
+    return F.when(run == "failed", "error").when(before == "paused", "paused").otherwise("active")
+
+
+def stale_children(stored: DataFrame, parents: DataFrame, child: str, parent: str, keep: str, mark: str = "#") -> DataFrame:
+    """Stored children (``parent#...``) of the feed's parents that the parent's keep-list doesn't hold; an empty list keeps
+    none. The parent is cut out of the child's id, so this is a join by key; a parent's id may hold marks itself, so every
+    prefix that ends at a mark is tried."""
+    parts = F.split(child, mark)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), mark))
+    spread = stored.where(F.col(child).contains(mark)).withColumn(parent, F.explode(prefixes))
+    return spread.join(parents, parent).where(~F.coalesce(F.array_contains(keep, F.col(child)), F.lit(False))).select(*stored.columns).distinct()
+
+
+def merged_by_rule(current: DataFrame, feed: DataFrame, key: str, value: str, rule: str) -> DataFrame:
+    """Items of a feed beside stored ones; where both have the key, ``rule`` (a column of the feed) says overwrite or skip."""
+    new = feed.select(key, F.col(value).alias("_new"), F.col(rule).alias("_rule"))
+    joined = current.join(new, key, "full")
+    kept = F.when(F.col(value).isNull() | ((F.col("_rule") == "overwrite") & F.col("_new").isNotNull()), F.col("_new")).otherwise(F.col(value))
+    return joined.select(key, kept.alias(value))
+
+
+def tree_ancestors(nodes: DataFrame, asked: DataFrame, node: str, parent: str) -> DataFrame:
+    """Distinct ancestors of the asked nodes, each once; a recursive query, so the tree may have any depth."""
+    return nodes.sparkSession.sql(
+        f"""with recursive up(id) as (
+              select {parent} from {{nodes}} join {{asked}} using ({node}) where {parent} is not null
+              union all select n.{parent} from up join {{nodes}} n on n.{node} = up.id where n.{parent} is not null)
+            select distinct id as {node} from up""",
+        nodes=nodes, asked=asked,
+    )
+
+
+def answers(chunks: DataFrame, by: list[str], pos: str, text: str, done: str) -> DataFrame:
+    """Streamed answers put together: the chunks of each in order, and whether its last one came. Chunks of one answer
+    meet in one task; an answer is bounded by what a model may write."""
+    out = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("_c"), F.max(done).alias("finished"))
+    return out.select(*by, F.array_join(F.transform("_c", lambda c: c[text]), "").alias("answer"), "finished")

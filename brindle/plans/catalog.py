@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import changes, lookups, overview, search
+from brindle.plans import changes, evaluation, feeds, listings, lookups, overview, policies, projections, search, updates
 
-MODULES = (overview, lookups, changes, search)
+MODULES = (overview, lookups, listings, projections, policies, changes, updates, feeds, search, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,8 +11,7 @@ from brindle.sources.tables import table
 
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.where("vec_id = 7").select("embedding").first()[0]
-    return rt.nearest(vectors, query, 10, 0.0).select("vec_id", "score")
+    return rt.nearest(vectors, vectors.where("vec_id = 7").select("embedding"), 10, 0.0).select("vec_id", "score")
 
 
 def chunk_documents(spark, sf_dir):

@@ -38,5 +38,6 @@ def test_query_equals_sql(spark, duck, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
     want = rows(df.columns, names, got.fetchall())
-    assert want or name == "set_except_distinct"  # every user has a large value in the smallest tables
+    # in the smallest tables every user has a large value, and no two stores are alike
+    assert want or name in ("set_except_distinct", "duplicate_stores")
     assert rows(df.columns, df.columns, df.collect()) == want
