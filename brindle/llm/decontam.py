@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, text_or_empty, with_row_key, written
+from brindle.llm.worker import tidy
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -123,6 +124,7 @@ RESULTS = T.StructType([
 
 
 def _tile_batches(text_at: int, bench: Benchmark, min_match: int, coverage: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))
@@ -139,6 +141,7 @@ def _tile_batches(text_at: int, bench: Benchmark, min_match: int, coverage: floa
 
 
 def _seed_batches(min_match: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, seed): the distinct seeds of each text."""
         for batch in batches:
@@ -156,6 +159,7 @@ def _seed_batches(min_match: int):
 
 
 def _pair_batches(min_match: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, item_id, text, item text) -> the tiling of each pair."""
         for batch in batches:

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, text_or_empty, written
 from brindle.llm.components import components
+from brindle.llm.worker import tidy
 
 SIZE = 5
 PERCENT = 75
@@ -88,6 +89,7 @@ def signature(values: np.ndarray) -> bytes:
 
 
 def _sketch_batches(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(1))
@@ -137,6 +139,7 @@ def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tup
 
 
 def _prefix_hash_batches(size: int, percent: int, parts: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _each_set(batches, size):
             if found:
@@ -147,6 +150,7 @@ def _prefix_hash_batches(size: int, percent: int, parts: int):
 
 
 def _count_batches(keep: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
         found, count = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_counts=True)
@@ -186,6 +190,7 @@ class Frequent:
 
 
 def _entry_batches(size: int, percent: int, parts: int, frequent: Frequent):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _each_set(batches, size):
             if not found:
@@ -231,6 +236,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _tile_batches(percent: int, small_tile: int, frequent: Frequent):
     """Entries of a part -> members of tiles with a partner in reach, each with up to two members of the middle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
         entries = np.frombuffer(b"".join(blobs), _ENTRY)
@@ -287,6 +293,7 @@ def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
 def _bound_batches(percent: int):
     """(a, b, n_a, bits_a, n_b, bits_b) -> (a, b, slack) of the pairs whose bound reaches what is needed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, bits_a, n_b, bits_b = (batch.column(i).to_pylist() for i in range(2, 6))
@@ -300,6 +307,7 @@ def _bound_batches(percent: int):
 def _array_batches(size: int):
     """(text, key, side, sid) -> (key, side, sid, set): the set again, from the whole text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, expected = tb.as_strings(batch.column(0)), batch.column(2).to_pylist()
@@ -315,6 +323,7 @@ def _array_batches(size: int):
 def _exact_batches(percent: int):
     """(a, b, values_a, values_b) -> (u, v) of the linked pairs, by intersection of the sorted arrays."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -384,6 +393,7 @@ def _cross_batches(percent: int):
     tile. A pair is looked at where one member is at home, and once a task.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
@@ -538,6 +548,7 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def _with_set_batches(size: int):
     """Rows with the text last -> the rows with its set's id in the place of it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(batch.num_columns - 1))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table
+from brindle.llm.worker import tidy
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -177,6 +178,7 @@ def _label_batch(model: Model, column: pa.Array) -> tuple[list[str], list[float]
 
 
 def _label_batches(text_at: int, model: Model):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, share, spans = _label_batch(model, tb.as_strings(batch.column(text_at)))
@@ -185,6 +187,7 @@ def _label_batches(text_at: int, model: Model):
     return run
 
 
+@tidy
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the n-grams and, as features from 3 * BUCKETS on, of the letters by script; one batch a task."""
     total: dict[str, np.ndarray] = {}

@@ -28,11 +28,15 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, written
+from brindle.llm.worker import Recent, kept, tidy
 
 CAPACITY = 4096
 #: Enumerated patterns that enter the fit; others' lengths are left to best fit.
 PATTERNS = 8_000
-KEPT_CHUNKS = 800_000
+#: Bytes of encoded chunks that a worker keeps.
+KEPT_BYTES = 64 << 20
+#: What a chunk and its ids take beside their own bytes: two objects' heads and a place in a map.
+CHUNK_BYTES = 150
 LETTERS_TOGETHER = 2_000
 _MARKS = b".,;:!?"
 
@@ -50,7 +54,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(KEPT_BYTES, CHUNK_BYTES)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,9 +73,9 @@ class ChunkEncoder:
                 others += group
                 continue
             data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.update((c, data[a:b]) for c, a, b in zip(group, edges[:-1], edges[1:], strict=True))
+            self.known.add((c, data[a:b]) for c, a, b in zip(group, edges[:-1], edges[1:], strict=True))
         found = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
-        self.known.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(others, found, strict=True))
+        self.known.add((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(others, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -79,25 +83,20 @@ class ChunkEncoder:
         for text in texts:
             data = text.encode()
             split.append((data if b"<|" in data else data.lower()).split())
-        missing = {c for chunks in split for c in chunks if c not in self.known}
+        self.known.turn()
+        missing = self.known.missing(set(chain.from_iterable(split)))
         if missing:
-            if len(self.known) + len(missing) > KEPT_CHUNKS:
-                self.known.clear()
-                missing = set(chain.from_iterable(split))
             # a mark after a letter or digit is a pre-token of its own, so only the word before it needs the library
             marked = {c for c in missing if c[-1] in _MARKS and c[-2:-1].isalnum()}
-            self._learn([c for c in (missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked}) if c not in self.known])
-            self.known.update((c, self.known[c[:-1]] + self.known[c[-1:]]) for c in marked)
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
+            self._learn(list(self.known.missing(missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked})))
+            known = self.known.young
+            self.known.add((c, known[c[:-1]] + known[c[-1:]]) for c in marked)
+        return [b"".join(map(self.known.young.__getitem__, chunks)) for chunks in split]
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """One encoder a worker and vocabulary."""
+    return kept(__name__, path, lambda: ChunkEncoder(path))
 
 
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -106,6 +105,7 @@ PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("s
 def _piece_batches(text_at: int, path: str, end_id: int, capacity: int, keep_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))
@@ -255,6 +255,7 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def _place_batches(rows: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = rows[:, 0].astype(np.float64) * 2.0**40 + rows[:, 1]  # exact below 2**53: lengths < 2**13, ranks < 2**40
         for batch in batches:

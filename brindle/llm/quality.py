@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, written
+from brindle.llm.worker import tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -96,6 +97,7 @@ def count_slice(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _count_batches(text_at: int, keep_text: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tb.as_strings(batch.column(text_at))

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from brindle.llm import textbatch as tb
 from brindle.llm.common import table, text_or_empty, with_row_key, written
 from brindle.llm.suffixes import sort_suffixes
+from brindle.llm.worker import tidy
 
 LENGTH = 400
 GRAM = 48
@@ -85,6 +86,7 @@ _SEGMENT = T.StructType([T.StructField(n, T.LongType() if n in ("r1", "r2", "gra
 
 
 def _segment_batches(length: int, gram: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(2))
@@ -143,6 +145,7 @@ _FETCHED = "gram long, segment long, anchor int, starts int, many boolean, data
 def _fetch_batches(length: int):
     """(text, wanted) -> the wanted segments' bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(0))
@@ -176,6 +179,7 @@ def _class_batches(length: int):
         for batch in batches:
             yield from zip(*(batch.column(i).to_pylist() for i in (0, 1, 5, 2, 3)), strict=True)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, held = [], 0
         for _, members in groupby(rows(batches), key=lambda s: s[0]):
@@ -194,6 +198,7 @@ def _class_batches(length: int):
 def _window_batches(length: int):
     """Segments of oversize anchors -> (gram, segment, start, distance, digest) of each of their windows."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for grams, hashes, anchor, starts, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
@@ -234,6 +239,7 @@ def _cut_batches(text_at: int, length: int, keep_bytes: bool):
         head = np.flatnonzero(np.r_[True, pairs[1:, 0] > to[:-1]]) if len(pairs) else np.zeros(0, np.int64)
         return np.stack([pairs[head, 0], to[np.r_[head[1:] - 1, len(pairs) - 1]]], axis=1) if len(pairs) else pairs
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import table, text_or_empty
+from brindle.llm.worker import tidy
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
@@ -389,6 +390,7 @@ _RESULTS = T.StructType([T.StructField("findings", FINDINGS), T.StructField("lay
 def _scan_batches(text_at: int, redact: bool):
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import table, text_or_empty
+from brindle.llm.worker import kept, tidy
 
 # fixed values: Unicode's white space, and the splitting pattern of this family of byte-level vocabularies
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -182,20 +183,16 @@ class PrefixCounter:
         return self.plain(text)
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One counter a worker and vocabulary."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return kept(__name__, path, lambda: PrefixCounter(path))
 
 
 RESULTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("prefix_steps", T.BinaryType())])
 
 
 def _count_batches(text_at: int, path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = counter(path)
         for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import small, table, written
+from brindle.llm.worker import tidy
 
 BUCKETS = 1 << 20
 FEATURES = 4_096
@@ -96,6 +97,7 @@ def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int
     return w, theta
 
 
+@tidy
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = tb.as_strings(batch.column(1))
@@ -136,6 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "d
 
 
 def _marks_of(buckets: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -154,6 +157,7 @@ RESULTS = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField
 def _score_batches(text_at: int, model: Ordinal):
     grades = np.array(model.grades)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))
