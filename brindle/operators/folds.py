@@ -2,44 +2,150 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BUCKET_SECONDS = 86_400.0
 
-def throttled(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False) -> DataFrame:
+
+def throttled(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
     """The events that a rate limit lets through: one is kept if the last *kept* one of its key is longer ago than
     ``seconds`` (with ``inclusive``: at least as long).
 
-    An event that is far enough from the event before it is kept whatever came earlier, so each such gap starts a run that
-    is judged alone. Runs, not keys, are dealt to tasks; within a task sorted rows stream by and only the last kept time
-    is held.
-    """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = int(seconds * 1_000_000)
-    by = Window.partitionBy(*keys).orderBy(us, order)
-    gap = us - F.lag(us).over(by)
-    far = F.coalesce(gap >= width if inclusive else gap > width, F.lit(True))
-    runs = df.withColumn("_us", us).withColumn("_far", far.cast("long"))
-    runs = runs.withColumn("_run", F.sum("_far").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = runs.withColumn("_key", F.xxhash64(*keys)).repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_us", order)
-    schema = dealt.schema
-    return dealt.mapInArrow(_keep(width, inclusive), schema).drop("_us", "_far", "_run", "_key")
-
-
-def _keep(width: int, inclusive: bool):
+    A key's time is cut into buckets, which tasks judge alone: whatever was kept before a bucket, its first kept event is one
+    of those in the bucket's first ``seconds`` or the next one, and from each of them the last kept one follows. These short
+    tables, a few rows a bucket, are chained key by key; then each bucket knows where it starts. A task holds a bucket's
+    events of one key (``bucket_seconds`` bounds them) and, when chaining, a row."""
+    width, span = int(seconds * 1_000_000), int(max(bucket_seconds, 4 * seconds) * 1_000_000)
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_bucket", F.floor(F.col("_us") / span))
+    group = [*keys, "_bucket"]
+    fields = [timed.schema[k] for k in keys]
+    long = lambda name: T.StructField(name, T.LongType())
+    exits = timed.select(*group, "_us").repartition(*group).sortWithinPartitions(*group, "_us")
+    exits = exits.mapInArrow(_exits(len(keys), width, span, inclusive), T.StructType([*fields, long("_bucket"), long("_entry"), long("_exit")]))
+    starts = exits.repartition(*keys).sortWithinPartitions(*group, "_entry").mapInArrow(_chain(len(keys), width, inclusive), T.StructType([*fields, long("_bucket"), long("_last")]))
+    at = starts.select("_last", *[F.col(c).alias(f"_{c}_s") for c in group])
+    same = reduce(Column.__and__, [timed[c].eqNullSafe(at[f"_{c}_s"]) for c in group])
+    known = timed.join(at, same).drop(*[f"_{c}_s" for c in group])
+    dealt = known.repartition(*group).sortWithinPartitions(*group, "_us", order)
+    return dealt.mapInArrow(_keep(group, width, inclusive), dealt.schema).drop("_us", "_bucket", "_last")
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row's values differ from those of the row before it; the first row does."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, n - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: Callable[[pa.Table], list[str]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in pieces that hold whole groups, with the first row of each group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        first = np.flatnonzero(_changes([rows[c].combine_chunks() for c in names(rows)])) if len(rows) else np.zeros(0, np.int64)
+        if len(first) < 2:
+            held = rows
+            continue
+        yield rows.slice(0, first[-1]), first[:-1]
+        held = rows.slice(first[-1])
+    if held is not None and len(held):
+        yield held, np.flatnonzero(_changes([held[c].combine_chunks() for c in names(held)]))
+
+
+def _next(us: np.ndarray, first: np.ndarray, width: int, inclusive: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each row, the next row that passes after each row was kept; the number of rows where its group has none)."""
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(us)]))
+    base = us[first][group]
+    step = int((us - base).max(initial=0)) + width + 2
+    place = group * step + (us - base)
+    to = np.searchsorted(place, place + width, side="left" if inclusive else "right")
+    inside = np.r_[group, -1][to] == group
+    return group, np.where(inside, to, len(us))
+
+
+def _exits(n_keys: int, width: int, span: int, inclusive: bool):
+    """Events of buckets -> for each event that may be its bucket's first kept one: the last that is kept then. Neighbours with
+    the same last one are one row, that of the later one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
+        for rows, first in _whole_groups(batches, lambda t: t.column_names[: n_keys + 1]):
+            us, bucket = rows["_us"].to_numpy(), rows["_bucket"].to_numpy()
+            group, jump = _next(us, first, width, inclusive)
+            last = np.arange(len(us))
+            jump = np.r_[jump, len(us)]
+            while (jump[:-1] < len(us)).any():  # twice as far each time
+                last = np.where(jump[:-1] < len(us), np.r_[last, 0][jump[:-1]], last)
+                jump = jump[jump]
+            early = us < bucket * span + width
+            after = np.r_[True, group[1:] != group[:-1]] | np.r_[True, early[:-1]]  # the first one, or right behind an early one
+            may = np.flatnonzero(early | after)
+            same = np.r_[(group[may][1:] == group[may][:-1]) & (last[may][1:] == last[may][:-1]), False]
+            kept = may[~same]
+            out = rows.select(rows.column_names[: n_keys + 1]).take(pa.array(kept))
+            out = out.append_column("_entry", pa.array(us[kept])).append_column("_exit", pa.array(us[last[kept]]))
+            yield from out.to_batches()
+
+    return run
+
+
+def _chain(n_keys: int, width: int, inclusive: bool):
+    """The buckets' tables in order -> what was kept last before each bucket that keeps something."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None
+        last: int | None = None
+        done: tuple | None = None  # the bucket whose first kept event was found
         for batch in batches:
-            column = lambda name, b=batch: b.column(b.schema.get_field_index(name)).to_pylist()
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (us, far) in enumerate(zip(column("_us"), column("_far"), strict=True)):
-                if far or (us - last >= width if inclusive else us - last > width):  # a run starts with a far event
-                    keep[i], last = True, us
-            yield batch.filter(pa.array(keep))
+            keep: list[int] = []
+            lasts: list[int | None] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+            rest = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_bucket", "_entry", "_exit")), strict=True)
+            for i, (key, (bucket, entry, leaves)) in enumerate(zip(keys, rest, strict=True)):
+                if key != before:
+                    before, last, done = key, None, None
+                if done != (key, bucket) and (last is None or (entry - last >= width if inclusive else entry - last > width)):
+                    keep.append(i)
+                    lasts.append(last)
+                    last, done = leaves, (key, bucket)
+            out = batch.select(batch.schema.names[: n_keys + 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lasts, pa.int64())], names=[*out.schema.names, "_last"])
+
+    return run
+
+
+def _keep(group_by: list[str], width: int, inclusive: bool):
+    """Events with what was kept before their bucket -> the kept ones; all groups go on step by step together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in _whole_groups(batches, lambda t: group_by):
+            us = rows["_us"].to_numpy()
+            group, jump = _next(us, first, width, inclusive)
+            last = rows["_last"].combine_chunks()
+            far = us - pc.fill_null(last, 0).to_numpy(zero_copy_only=False)
+            passes = (far >= width if inclusive else far > width) | last.is_null().to_numpy(zero_copy_only=False)
+            places = np.flatnonzero(passes)
+            _, at = np.unique(group[places], return_index=True)
+            now = places[at]
+            keep = np.zeros(len(us), bool)
+            while len(now):
+                keep[now] = True
+                now = jump[now]
+                now = now[now < len(us)]
+            yield from rows.filter(pa.array(keep)).to_batches()
 
     return run
 

@@ -11,12 +11,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def throttled_stream(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False) -> DataFrame:
+def throttled_stream(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False, late: str | None = None) -> DataFrame:
     """``operators.folds.throttled`` over a stream: an event passes if its key's last passed one is longer ago than
-    ``seconds``. State is one timestamp a key; events of a batch are judged in the order of their time."""
+    ``seconds``. State is one timestamp a key; a trigger's events of a key are judged together in the order of their time,
+    so limit what a trigger reads. An event older than the last passed one is late and doesn't pass. With ``late``, a
+    watermark's delay, a key's state goes when the watermark has passed what it may still hold back."""
     width = pd.Timedelta(seconds=seconds)
 
     def judge(_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = pd.concat(list(frames)).sort_values([ts, order])
         keep = []
@@ -25,10 +30,21 @@ def throttled_stream(df: DataFrame, keys: list[str], ts: str, order: str, second
             keep.append(passes)
             last = at if passes else last
         state.update((last.value // 1000,))
+        if late is not None:
+            ends = (last + width).value // 1_000_000 + 1
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows[keep]
 
     state = T.StructType([T.StructField("last", T.LongType())])
-    return df.groupBy(*keys).applyInPandasWithState(judge, df.schema, state, "append", GroupStateTimeout.NoTimeout)
+    timed = df.withWatermark(ts, late) if late is not None else df
+    timeout = GroupStateTimeout.EventTimeTimeout if late is not None else GroupStateTimeout.NoTimeout
+    return timed.groupBy(*keys).applyInPandasWithState(judge, df.schema, state, "append", timeout)
+
+
+def in_batches(df: DataFrame, handle, checkpoint: str):
+    """Runs ``handle(rows, batch_id)`` on every batch of a stream, those that are there now. A batch that failed comes again
+    under its number, so ``handle`` can tell what it has done already."""
+    return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(df: DataFrame, ts: str, by: list[str], window: str, late: str) -> DataFrame:
