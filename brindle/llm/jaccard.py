@@ -13,9 +13,10 @@ Equal sets are one class from the start, however many rows hold it. For the rest
    set's size band asks for - bound the overlap from above, the best survivors are checked by exact intersection of
    sorted arrays, and links give components.
 4. All other pairs. Tiles whose members are of one component are done. In the others every pair of different
-   components is held against size, place and bitmap bound, and the survivors are intersected exactly. A large
-   tile is dealt out in blocks; only members outside its main component visit the other blocks, so a family of near
-   copies costs its size, not its square.
+   components is held against size, place and bitmap bound, and the survivors are intersected exactly. Large ones hold
+   sets that share much and link with few: their members' shingles are all counted and new tiles are formed by that
+   order, in which the shared shingles come last. What is large still is dealt out in blocks; only members outside a tile's
+   main component visit the other blocks, so a family of near copies costs its size, not its square.
 
 Both texts of a pair never travel: pairs move as identifiers, and only pairs that pass the bound bring their arrays.
 
@@ -49,7 +50,9 @@ HOT = 100_000
 BLOCK = 2_048
 ENTRIES_A_PART = 250_000
 #: Members of tiles with the same main component that one task takes.
-FAMILY = 50_000
+FAMILY = 16_000
+#: Members from which on a tile of several components is formed anew, by the counts of all shingles of its members.
+DENSE = 256
 
 
 # --- sets ---------------------------------------------------------------------------------------------------------------
@@ -138,12 +141,14 @@ def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tup
             yield out
 
 
-def _prefix_hash_batches(size: int, percent: int, parts: int):
+def _hash_batches(size: int, percent: int | None, parts: int):
+    """The shingles of each set's prefix by hash order, or with no ``percent`` all of them."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _each_set(batches, size):
             if found:
-                hashes = np.concatenate([v[: prefix_length(len(v), percent)] for _, v in found])
+                hashes = np.concatenate([v if percent is None else v[: prefix_length(len(v), percent)] for _, v in found])
                 yield _dealt((hashes % np.uint64(parts)).astype(np.int32), hashes)
 
     return run
@@ -454,16 +459,20 @@ def _cross_batches(percent: int):
     return run
 
 
-def _crossing(members: DataFrame, roots: DataFrame, marks: DataFrame, percent: int, tasks: int, hot: int) -> DataFrame:
-    """(a, b) of the pairs in tiles that join two components and that may link.
+def _opened(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their components, tiles that join two components: hash, members, main component), the latter written."""
+    tagged = members.select("hash", "sid", "n", "pos").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    of_tile = tagged.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash")
+    opened = of_tile.agg(F.count("*").alias("roots"), F.sum("k").alias("members"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
+    return tagged, written(opened.drop("roots"), "open-tiles")
+
+
+def _crossing(tagged: DataFrame, opened: DataFrame, marks: DataFrame, percent: int, tasks: int, hot: int) -> DataFrame:
+    """(a, b) of the pairs in open tiles that may link.
 
     Tiles with the same main component hold much the same sets, so they go to the same tasks, a set's bits once to each;
     a component with many such tiles is dealt over tasks in proportion.
     """
-    tagged = members.select("hash", "sid", "n", "pos").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    of_tile = tagged.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash")
-    opened = of_tile.agg(F.count("*").alias("roots"), F.sum("k").alias("members"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
-    opened = written(opened.drop("roots"), "open-tiles")
     families = opened.groupBy("main").agg(F.ceil(F.sum("members") / FAMILY).cast("int").alias("shares"))
     placed = tagged.join(opened.join(families, "main"), "hash").withColumn("blocks", F.ceil(F.col("members") / hot).cast("int"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
@@ -482,22 +491,36 @@ def _crossing(members: DataFrame, roots: DataFrame, marks: DataFrame, percent: i
 # --- the join -------------------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, hot: int = BLOCK) -> DataFrame:
+def _tiles(texts: DataFrame, size: int, percent: int, total: int, whole: bool, name: str) -> DataFrame:
+    """Members of the tiles of ``texts``; ``total`` shingles say how far they are dealt out. With ``whole`` the order is by the
+    counts of all shingles and not only of those in prefixes by hash."""
+    shuffles = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(8 * shuffles, total // (4 * ENTRIES_A_PART))
+    tasks = max(shuffles, parts // 8)
+    dealt = texts.select("text").mapInArrow(_hash_batches(size, None if whole else percent, parts), "part int, entries binary").repartition(tasks, "part")
+    common = dealt.mapInArrow(_count_batches(FREQUENT), "hash long, count long").orderBy(F.desc("count"), "hash").limit(FREQUENT).toArrow()
+    frequent = Frequent(common["hash"].to_numpy().view(np.uint64), common["count"].to_numpy())
+    dealt = texts.select("text").mapInArrow(_entry_batches(size, percent, parts, frequent), "part int, entries binary").repartition(tasks, "part")
+    return written(dealt.mapInArrow(_tile_batches(percent, 64, frequent), "hash long, sid long, n long, pos long, middle long, quarter long"), name)
+
+
+def _dense(tagged: DataFrame, opened: DataFrame, texts: DataFrame, homes: DataFrame, dense: int) -> tuple[DataFrame, DataFrame] | None:
+    """(large open tiles, texts of their members), or None if there are none."""
+    large = written(opened.where(F.col("members") > dense).select("hash"), "dense-tiles")
+    if not large.limit(1).count():
+        return None
+    sids = tagged.join(large, "hash", "left_semi").select("sid").distinct()
+    at = written(sids.join(homes, "sid").select(F.col("id").alias("home")).distinct(), "dense-homes")
+    return large, texts.join(small(at), texts["id"].eqNullSafe(at["home"]), "left_semi")
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, hot: int = BLOCK, dense: int = DENSE) -> DataFrame:
     """(id, n_shingles, set_id, component_id) of every row of ``df``."""
-    spark = df.sparkSession
     rows = written(sketches(df, id_col, text_col, size), "sketches")
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(df, text_col).alias("text"))
     classes = written(rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * ENTRIES_A_PART))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 8)
-
-    dealt = texts.select("text").mapInArrow(_prefix_hash_batches(size, percent, parts), "part int, entries binary").repartition(tasks, "part")
-    common = dealt.mapInArrow(_count_batches(FREQUENT), "hash long, count long").orderBy(F.desc("count"), "hash").limit(FREQUENT).toArrow()
-    frequent = Frequent(common["hash"].to_numpy().view(np.uint64), common["count"].to_numpy())
-
-    dealt = texts.select("text").mapInArrow(_entry_batches(size, percent, parts, frequent), "part int, entries binary").repartition(tasks, "part")
-    members = written(dealt.mapInArrow(_tile_batches(percent, 64, frequent), "hash long, sid long, n long, pos long, middle long, quarter long"), "tiles")
+    members = _tiles(texts, size, percent, total, False, "tiles")
 
     starts = members.select("sid", F.explode(F.array("middle", "quarter")).alias("b")).where("b is not null").withColumnRenamed("sid", "a").distinct()
     marks = classes.select("sid", "n", "bits")
@@ -509,7 +532,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = written(exact_links(chosen, texts, homes, size, percent), "first-links")
     roots = written(components(links, rounds=4), "first-roots")
 
-    crossing = written(_crossing(members, roots, marks, percent, tasks, hot), "other-pairs")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (32 * ENTRIES_A_PART))
+    tagged, opened = _opened(members, roots)
+    # large open tiles hold many sets that share much and link with few: among these sets, tiles by the counts of all their
+    # shingles take their place. A pair of sets is in both or has a smaller tile
+    again = _dense(tagged, opened, texts, homes, dense)
+    if again is not None:
+        large, of_members = again
+        opened = opened.join(large, "hash", "left_anti")
+    crossing = _crossing(tagged, opened, marks, percent, tasks, hot)
+    if again is not None:
+        inner = _opened(_tiles(of_members, size, percent, total, True, "dense-entries"), roots)
+        crossing = crossing.unionByName(_crossing(*inner, marks, percent, tasks, hot))
+    crossing = written(crossing, "other-pairs")
     more = written(exact_links(crossing, texts, homes, size, percent), "other-links")
     # links between the first components only: few, however many links a family has
     root_of = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"}

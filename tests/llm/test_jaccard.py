@@ -32,8 +32,8 @@ def brute(rows):
     return {key: (len(sets[i]), low[find(i)]) for i, (key, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 2048), (2, 4), (3, 16)])
-def test_against_all_pairs(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "dense"), [(1, 2048, 256), (2, 4, 256), (3, 16, 256), (4, 4, 4), (5, 2048, 1)])
+def test_against_all_pairs(spark, seed, hot, dense):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -48,10 +48,21 @@ def test_against_all_pairs(spark, seed, hot):
     rows += [None, "", " \t\n", "One two", "one TWO", "one two three", "É é", "x " * 50, *rows[:5]]
     rows = [(1000 - i, t) for i, t in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = jaccard.near_duplicates(df, hot=hot).collect()
+    out = jaccard.near_duplicates(df, hot=hot, dense=dense).collect()
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows)
 
 
+def test_a_family_just_below_the_threshold(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(86)]
+    rows = [(i, " ".join(base + [f"o{rng.randrange(10**9)}" for _ in range(17)])) for i in range(90)]
+    rows += [(200 + i, rows[3 * i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.near_duplicates(df, dense=70).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows)
+    assert len({r["component_id"] for r in out}) == 90
+
+
 def test_bound_is_never_below_the_overlap():
     import numpy as np
     import pyarrow as pa
