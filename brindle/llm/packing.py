@@ -1,9 +1,9 @@
 """Packing of tokenised documents into sequences of a fixed length, by patterns fitted to the length histogram.
 
-Only the histogram (at most ``capacity`` bins, whatever the corpus) reaches the driver. There, patterns of up to three
-lengths that fill a sequence exactly are enumerated, their repeat counts fitted to the histogram by non-negative least
-squares, rounded down to what the histogram holds, and what is left is packed best-fit-decreasing, a whole count of
-equal lengths at a time. The outcome is a list of patterns with repeats that uses every bin up. Pieces then take their
+Only the histogram (at most ``capacity`` bins, whatever the corpus) reaches the driver. There, patterns of few lengths that
+nearly fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded
+to what the histogram holds; ``ROUNDS`` says how many pieces and how much waste. Best fit packs the residual, a whole count
+of equal lengths at a time. The outcome is a list of patterns with repeats that uses every bin up. Pieces then take their
 places in parallel: a piece's rank among the pieces of its length - counted within hashed buckets, so that a length
 that a third of all pieces share is still spread - selects the slot, and the slot names sequence and offset.
 
@@ -31,8 +31,11 @@ from brindle.llm.common import small, table, written
 from brindle.llm.worker import Recent, kept, tidy
 
 CAPACITY = 4096
-#: Enumerated patterns that enter the fit; others' lengths are left to best fit.
-PATTERNS = 8_000
+#: Lengths by which a pattern's middle pieces stand off from equal shares.
+SHIFTS = (0, 1, -1, 3)
+#: Pieces of a pattern and tokens that it may leave free, at most, round after round; each is tried again on what it leaves.
+ROUNDS = ((2, 1), (2, 8), (3, 1), (3, 8), (6, 1), (6, 8), (12, 8))
+REPEATS = 2
 #: Bytes of encoded chunks that a worker keeps.
 KEPT_BYTES = 64 << 20
 #: What a chunk and its ids take beside their own bytes: two objects' heads and a place in a map.
@@ -144,61 +147,91 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, text_col: str = "text",
 # --- the plan, on the histogram -----------------------------------------------------------------------------------------
 
 
-def full_patterns(counts: np.ndarray, most: int = PATTERNS) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths that fill the capacity exactly; of many, those whose rarest length is commonest."""
-    capacity = len(counts) - 1
-    lengths = np.flatnonzero(counts)
-    out: list[tuple[float, tuple[int, ...]]] = []
-    if counts[capacity]:
-        out.append((float(counts[capacity]), (capacity,)))
-    out += [(float(min(counts[x], counts[capacity - x])), (int(x), int(capacity - x))) for x in lengths if 2 * x >= capacity and x < capacity and counts[capacity - x]]
-    for x in lengths:
-        if 3 * x < capacity or x > capacity - 2:
-            continue
-        rest = capacity - x
-        y = np.arange((rest + 1) // 2, min(x, rest - 1) + 1)
-        y = y[(counts[y] > 0) & (counts[rest - y] > 0)]
-        weight = np.minimum(np.minimum(counts[y], counts[rest - y]), counts[x])
-        out += [(float(w), (int(x), int(b), int(rest - b))) for w, b in zip(weight, y, strict=True)]
-        if len(out) > 8 * most:
-            out = sorted(out, reverse=True)[:most]
-    return [p for _, p in sorted(out, reverse=True)[:most]]
-
-
-def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = 20) -> np.ndarray:
-    """Non-negative least squares by coordinate descent: x >= 0 that brings sum_j x_j * (uses of j) near the counts."""
-    x = np.zeros(len(patterns))
-    residual = counts.astype(float)
-    uses = [sorted({a: p.count(a) for a in p}.items()) for p in patterns]
-    norms = [sum(m * m for _, m in u) for u in uses]
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, u in enumerate(uses):
-            step = max(-x[j], sum(m * residual[a] for a, m in u) / norms[j])
-            if step:
-                x[j] += step
-                moved += abs(step)
-                for a, m in u:
-                    residual[a] -= m * step
-        if moved < 1e-3 * max(1.0, counts.sum()):
-            break
+def patterns_of(left: np.ndarray, capacity: int, waste: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of at most ``most`` lengths of the histogram that leave at most ``waste`` tokens of a sequence free: a row
+    each, longest piece first and 0 behind the last, and their waste.
+
+    Each length leads patterns of one to ``most`` pieces: those between its first and its last are of about equal shares
+    of the room, ``SHIFTS`` lengths above or below; the last is the longest that still fits. Whole columns at a time, so the
+    work is bounded by the capacity and not by what is packed."""
+    lengths = np.flatnonzero(left)
+    if not len(lengths):
+        return np.zeros((0, most), np.int64), np.zeros(0, np.int64)
+    out = [np.zeros((0, most), np.int64)]
+    for pieces in range(1, most + 1):
+        for shift in SHIFTS if pieces > 2 else (0,):
+            rows = np.zeros((len(lengths), most), np.int64)
+            rows[:, 0] = lengths
+            room = capacity - lengths
+            alive = np.ones(len(lengths), bool)
+            for k in range(1, pieces):
+                share = room // (pieces - k) if k < pieces - 1 else room
+                at = np.searchsorted(lengths, share, side="right") - 1
+                if k < pieces - 1:
+                    at = at + shift * (1 if k % 2 else -1)
+                alive &= (at >= 0) & (at < len(lengths))
+                chosen = lengths[np.clip(at, 0, len(lengths) - 1)]
+                alive &= chosen <= room
+                rows[:, k] = chosen
+                room = room - chosen
+            out.append(rows[alive & (room >= 0) & (room <= waste)])
+    rows = np.unique(-np.sort(-np.concatenate(out), axis=1), axis=0)
+    return rows, capacity - rows.sum(axis=1)
+
+
+def fit_repeats(rows: np.ndarray, counts: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Non-negative least squares: x >= 0 that brings sum_j x_j * (uses of pattern j) near the counts. Projected gradient
+    steps, scaled by how many patterns a length is in and how many pieces a pattern has."""
+    pattern, place = np.nonzero(rows)
+    length = rows[pattern, place]
+    x = np.zeros(len(rows))
+    if not len(rows):
+        return x
+    of_length = np.maximum(np.bincount(length, minlength=len(counts)), 1)
+    of_pattern = np.bincount(pattern, minlength=len(rows))
+    for _ in range(steps):
+        residual = (counts - np.bincount(length, weights=x[pattern], minlength=len(counts))) / of_length
+        x = np.maximum(x + np.bincount(pattern, weights=residual[length], minlength=len(rows)) / of_pattern, 0.0)
     return x
 
 
+def rounded(rows: np.ndarray, fitted: np.ndarray, spare: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats that the histogram ``left`` holds; it is reduced by them. First the whole parts, then one more for the
+    patterns with the largest remainders, long first pieces and little waste before others."""
+    out: dict[int, int] = {}
+    uses = [[(int(a), int(m)) for a, m in zip(*np.unique(r[r > 0], return_counts=True), strict=True)] for r in rows]
+
+    def take(j: int, times: int) -> None:
+        times = min(times, *(int(left[a]) // m for a, m in uses[j]))
+        if times > 0:
+            out[j] = out.get(j, 0) + times
+            for a, m in uses[j]:
+                left[a] -= times * m
+
+    for j in np.argsort(-fitted, kind="stable"):
+        if fitted[j] < 1:
+            break
+        take(int(j), int(fitted[j] + 1e-9))
+    for j in np.lexsort((spare, -(fitted - np.floor(fitted)), -rows[:, 0])):
+        take(int(j), 1)
+    return [(tuple(a for a in rows[j].tolist() if a), times) for j, times in out.items()]
+
+
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in order, repeats): sequences that together hold exactly ``counts[n]`` pieces of each length n."""
+    """(lengths in order, repeats): sequences that together hold exactly ``counts[n]`` pieces of each length n.
+
+    Patterns of few pieces come first, so that short pieces stay for where one of them completes a sequence; what they leave is
+    enumerated, fitted and rounded again with more pieces and more waste allowed. Best fit packs the residual."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    patterns = full_patterns(counts)
-    fitted = fit_repeats(patterns, counts)
-    for j in np.argsort(-fitted, kind="stable"):
-        p = patterns[j]
-        times = min(int(fitted[j] + 1e-9), *(int(left[a]) // p.count(a) for a in p))
-        if times > 0:
-            out.append((p, times))
-            for a in p:
-                left[a] -= times
+    for most, waste in ROUNDS:
+        for _ in range(REPEATS):
+            before = int(left.sum())
+            rows, spare = patterns_of(left, capacity, waste, most)
+            out += rounded(rows, fit_repeats(rows, left), spare, left)
+            if before - int(left.sum()) <= before // 20:
+                break
     return out + best_fit(left, capacity)
 
 
