@@ -8,9 +8,10 @@ blind walk, one comparison with the leaf found, and a second walk to the place w
 
 from __future__ import annotations
 
-#: Depth at which the quicksort hands a group over to a blind trie.
-SHALLOW = 24
-_STEP = 8
+#: Depth at which the quicksort hands a group over to a blind trie. Suffixes at one anchor share its gram, so it has to be
+#: well beyond that for the quicksort to order them.
+SHALLOW = 96
+_STEP = 16
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -104,7 +105,7 @@ def sort_suffixes(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[in
             order += own
             shared += depths
             continue
-        # the multikey step, on eight bytes at a time: below, equal to and above a pivot
+        # the multikey step, on sixteen bytes at a time: below, equal to and above a pivot
         keys = [strings[i][depth : depth + _STEP] for i in group]
         pivot = sorted((keys[0], keys[len(keys) // 2], keys[-1]))[1]
         low, same, high = [], [], []
