@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits with A-Z folded. A document and a benchmark item meet when they share a seed: a
+Tokens are runs of letters and digits with A-Z folded; a character of a script without blanks is one token. A document and a benchmark item meet when they share a seed: a
 window of ``min_match`` tokens, found by its Karp-Rabin hash. The pair's maximal matches are the runs of seeds along
 its diagonals; the longest one that is not marked yet is marked in both texts, what overlaps it is cut back to its
 unmarked part, and so on until no match of ``min_match`` tokens is left. The tiles need not keep their order, so a
@@ -8,10 +8,11 @@ passage that was cut up and put together differently is covered all the same. A
 when its tiles cover at least ``coverage`` of the item's tokens.
 
 A benchmark of at most ``SMALL_SEEDS`` seeds (counted) goes to the tasks whole and documents need no shuffle; a larger
-one is joined by seed in Spark, each seed's documents against its items, and only pairs that share a seed move.
+one is joined by seed in Spark, each seed's documents against its items, and only pairs that share a seed move. Both ways
+give the same rows; a seed that many documents share is split by adaptive skew handling of that join.
 
 Defined results: null and empty texts have no tokens and match nothing; an item of fewer than ``min_match`` tokens
-can't be matched. Repeated benchmark rows are items of their own. Repeated documents give repeated rows; no rows give
+can't be told from a common phrase and is never matched. Repeated benchmark rows are items of their own. Repeated documents give repeated rows; no rows give
 none; input columns that clash with results come back as ``<name>_in``. Memory follows a slice of an Arrow batch and the
 longest text.
 """
@@ -24,6 +25,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,19 @@ COVERAGE = 0.5
 SMALL_SEEDS = 2_000_000
 
 
+# scripts that are written without blanks
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_SIGNS = r"[\p{P}\p{S}\p{Z}]+"
+# UTF-8 lead bytes of all characters but ASCII and the letters from U+00C0 to U+07FF
+_OTHER = np.zeros(256, bool)
+_OTHER[0xC2] = True
+_OTHER[0xE0:] = True
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a slice and each row's first token (n + 1 entries)."""
+    if _OTHER[tb.text_bytes(column)[0]].any():
+        column = pc.replace_substring_regex(pc.replace_substring_regex(column, _UNSPACED, r" \1 "), _SIGNS, " ")
     w = tb.words(column, breaks=tb.NOT_ALNUM)
     return w.hash, w.first
 
