@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
-from brindle.llm.common import small, table
+from brindle.llm.common import sampled, table
 from brindle.llm.worker import tidy
 
 BUCKETS = 1 << 15
@@ -207,13 +207,10 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
-    """The model of the labelled rows of ``df``. The rows to learn from are chosen by ids alone (the limit per language is
-    applied in each task before the shuffle), then joined back to their texts."""
-    ids = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = ids.withColumn("_nth", nth).where(F.col("_nth") <= rows_a_language).select("_id").distinct()
-    rows = df.join(small(chosen), df[id_col] == chosen["_id"], "left_semi").where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(_gram_batches, "lang string, feature long, n long")
+    """The model of the labelled rows of ``df``, at most about ``rows_a_language`` of each language (see ``common.sampled``)."""
+    columns = {"_id": F.col(id_col), "_lang": F.col(lang_col).cast("string"), "_text": F.col(text_col).cast("string")}
+    labelled = df.select(*[c.alias(name) for name, c in columns.items()]).where("_id is not null and _lang is not null and _text is not null")
+    counted = sampled(labelled, "_lang", "_id", rows_a_language).select("_lang", "_text").mapInArrow(_gram_batches, "lang string, feature long, n long")
     found = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found["lang"].to_pylist()))
     counts = np.zeros((len(SIZES) * BUCKETS + len(SCRIPTS), len(names)))

@@ -21,18 +21,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
-from brindle.llm.common import small, table, written
+from brindle.llm.common import sampled, small, table, written
 from brindle.llm.worker import tidy
 
 BUCKETS = 1 << 20
 FEATURES = 4_096
 ROWS_A_GRADE = 8_000
 L1 = 1e-4
+#: Sampled rows that a word must stand in to be a feature.
+LEAST_ROWS = 3
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,34 +68,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, n_grades: int, *, l1: float = L1, steps: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated proximal gradient; ``row``/``feature`` mark the ones of the design matrix."""
+def loss(w: np.ndarray, theta: np.ndarray, grade: np.ndarray, row: np.ndarray, feature: np.ndarray, l1: float) -> float:
+    """Mean negative log likelihood and the penalty."""
+    z = np.bincount(row, w[feature], minlength=len(grade))
+    padded = np.concatenate([[-np.inf], theta, [np.inf]])
+    between = _sigmoid(z - padded[grade]) - _sigmoid(z - padded[grade + 1])
+    return float(-np.log(np.maximum(between, 1e-12)).mean() + l1 * np.abs(w).sum())
+
+
+def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, n_grades: int, *, l1: float = L1, steps: int = 4_000, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal gradient; ``row``/``feature`` mark the ones of the design matrix.
+
+    Thresholds are free parameters beside the weights. The step is one over the largest curvature, found by power iteration
+    (the second derivative in z is at most 1/2); a step that raises the loss restarts the momentum. It ends when the loss
+    falls by less than ``tolerance`` of itself in ten steps, at the latest after ``steps``."""
     n = len(grade)
-    share = np.array([(grade >= k).mean() for k in range(1, n_grades)])
-    theta = -np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
+    share = np.clip([(grade >= k).mean() for k in range(1, n_grades)], 1e-4, 1 - 1e-4)
+    theta = -np.log(share / (1 - share))
     w = np.zeros(n_features)
-    momentum_w, momentum_t, t = w.copy(), theta.copy(), 1.0
-    per_row = np.bincount(row, minlength=n).max(initial=1)
-    rate = 4.0 / (per_row + 1)  # the loss has curvature at most 1/4 in z, and |x|^2 <= per_row
-    rate *= 8  # features are nearly orthogonal: far from the bound
-    for _ in range(steps):
-        z = np.bincount(row, momentum_w[feature], minlength=n)
-        padded = np.concatenate([[-np.inf], momentum_t, [np.inf]])
+    v = np.random.default_rng(5).random(n_features) + 0.1
+    norm = 1.0
+    for _ in range(30):  # of X'X / n
+        v = np.bincount(feature, np.bincount(row, v[feature], minlength=n)[row], minlength=n_features) / n
+        norm = float(np.linalg.norm(v))
+        if norm == 0:
+            break
+        v /= norm
+    rate = 1.0 / (0.5 * norm + 1.0)  # thresholds add at most 1: two a row, each with curvature 1/2
+    at_w, at_t, t = w.copy(), theta.copy(), 1.0
+    best = before = loss(w, theta, grade, row, feature, l1)
+    for step in range(steps):
+        z = np.bincount(row, at_w[feature], minlength=n)
+        padded = np.concatenate([[-np.inf], at_t, [np.inf]])
         above, below = _sigmoid(z - padded[grade]), _sigmoid(z - padded[grade + 1])
         slope = above + below - 1
-        new_w = momentum_w - rate * np.bincount(feature, slope[row], minlength=n_features) / n * 20
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1 * 20, 0)
+        new_w = at_w - rate * np.bincount(feature, slope[row], minlength=n_features) / n
+        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
         between = np.maximum(above - below, 1e-12)
-        at_theta = np.zeros(n_grades + 1)
-        np.add.at(at_theta, grade, above * (1 - above) / between)
-        np.add.at(at_theta, grade + 1, -below * (1 - below) / between)
-        new_t = np.maximum.accumulate(momentum_t - 2.0 * at_theta[1:n_grades] / n + 1e-9 * np.arange(n_grades - 1))
+        at_theta = np.bincount(grade, above * (1 - above) / between, minlength=n_grades + 1)
+        at_theta += np.bincount(grade + 1, -below * (1 - below) / between, minlength=n_grades + 1)
+        new_t = np.maximum.accumulate(at_t - rate * at_theta[1:n_grades] / n + 1e-9 * np.arange(n_grades - 1))
+        now = loss(new_w, new_t, grade, row, feature, l1)
+        if now > best:
+            at_w, at_t, t = w.copy(), theta.copy(), 1.0
+            if now - best < tolerance * best:
+                break
+            best = np.inf
+            continue
         next_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if ((momentum_w - new_w) @ (new_w - w)) > 0:  # restart when the momentum points uphill
-            next_t = t = 1.0
-        momentum_w = new_w + (t - 1) / next_t * (new_w - w)
-        momentum_t = np.maximum.accumulate(new_t + (t - 1) / next_t * (new_t - theta))
-        w, theta, t = new_w, new_t, next_t
+        at_w = new_w + (t - 1) / next_t * (new_w - w)
+        at_t = np.maximum.accumulate(new_t + (t - 1) / next_t * (new_t - theta))
+        w, theta, t, best = new_w, new_t, next_t, now
+        if step % 10 == 9:
+            if before - now < tolerance * abs(now):
+                break
+            before = now
     return w, theta
 
 
@@ -108,12 +137,12 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["grade", "marks"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", text_col: str = "text", rows_a_grade: int = ROWS_A_GRADE, features_kept: int = FEATURES) -> Ordinal:
-    """The regression fitted to ``labels`` (id and ``grade``, an integer column over it) and their texts in ``docs``."""
+def learn(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", text_col: str = "text", rows_a_grade: int = ROWS_A_GRADE, features_kept: int = FEATURES, least_rows: int = LEAST_ROWS) -> Ordinal:
+    """The regression fitted to ``labels`` (id and ``grade``, an integer column over it) and their texts in ``docs``. Words of
+    fewer than ``least_rows`` sampled rows are no features."""
     graded = labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("grade")).where("_id is not null and grade is not null")
     graded = graded.groupBy("_id").agg(F.max("grade").alias("grade"))
-    nth = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = graded.withColumn("nth", nth).where(F.col("nth") <= rows_a_grade).drop("nth")
+    chosen = sampled(graded, "grade", "_id", rows_a_grade)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(small(chosen), "_id").select("grade", "_text")
     sample = written(rows.mapInArrow(_feature_batches, "grade int, marks array<int>"), "toxicity")
     sizes = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
@@ -124,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "d
     seen = sample.select("grade", F.explode("marks").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("grade") > grades[0], 1)).alias("k"))
     expected = F.col("n") * (1 - low / total)
     chi = (F.col("k") - expected) ** 2 / (expected * (low / total) * (1 - F.col("n") / (total + 1.0)))
-    top = seen.where("n >= 3").orderBy(chi.desc(), "bucket").limit(features_kept).select("bucket").toArrow()["bucket"].to_numpy()
+    top = seen.where(F.col("n") >= least_rows).orderBy(chi.desc(), "bucket").limit(features_kept).select("bucket").toArrow()["bucket"].to_numpy()
     buckets = np.sort(top)
     kept = sample.select("grade", F.array_intersect("marks", F.array(*map(F.lit, map(int, buckets)))).alias("marks")) if len(buckets) <= 64 else sample.mapInArrow(_marks_of(buckets), sample.schema)
     found = kept.toArrow()
