@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontam, jaccard, packing, quality, secrets
-from brindle.llm.common import restored, table, written
+from brindle.llm.common import only_result, restored, table
 
 ORACLE_SQL = None
 
@@ -55,8 +55,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each stage's rows written to the shared folder and reread."""
+    """All stages over the documents of ``sf_dir``, each stage's rows written to the shared folder and reread; its work tables go."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = only_result(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
     return docs
