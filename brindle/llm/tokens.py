@@ -22,6 +22,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -63,7 +64,10 @@ class PrefixCounter:
         added = set(self.special)
         self.ids = {as_bytes(t): i for t, i in model["vocab"].items() if t not in added}
         self.bytes = {i: b for b, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.ends = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.ends.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ends.make_automaton()
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
@@ -96,23 +100,26 @@ class PrefixCounter:
         return known
 
     def prefix_counts(self, data: bytes) -> list[int]:
-        """count[i] for every byte prefix of one unit of the splitting pattern."""
-        ids, beside, longest = self.ids.get, self.beside.get, self.longest
-        last, count = [-1], [0]
-        for end in range(1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = ids(data[start:end])
-                if token is not None:
-                    if start:
-                        fits = beside(last[start] << 20 | token)
-                        if fits is None:
-                            fits = self.may_stand(last[start], token)
-                    else:
-                        fits = self.is_whole(token)
-                    if fits:
-                        last.append(token)
-                        count.append(count[start] + 1)
-                        break
+        """count[i] for every byte prefix of one unit of the splitting pattern. An automaton over the vocabulary names the tokens
+        that end at each byte; just one of them may stand last."""
+        beside, may_stand = self.beside.get, self.may_stand
+        size = len(data)
+        last, count = [-1] * (size + 1), [0] * (size + 1)
+        for at, (token, length) in self.ends.iter(data.decode("latin-1")):
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                fits = beside(before << 20 | token)
+                if fits is None:
+                    fits = may_stand(before, token)
+            else:
+                fits = self.is_whole(token)
+            if fits:
+                last[end] = token
+                count[end] = count[start] + 1
         return count
 
     def unit_counts(self, unit: str) -> list[int]:
@@ -143,6 +150,8 @@ class PrefixCounter:
                 skip = max(0, skip - len(one) + 1)
                 base += one[-1]
         data, before, steps = piece.encode(), 0, []
+        if len(data) == len(piece):
+            return bytes([after - value & 255 for value, after in zip([0, *counts], counts, strict=False)])
         for i, value in enumerate(counts, 1):
             if i < len(data) and data[i] & 0xC0 == 0x80:  # inside a character
                 steps.append(0)
