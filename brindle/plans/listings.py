@@ -156,6 +156,18 @@ def provider_support(spark, sf_dir):
     return one.unionByName(asked("").where("p_partkey < 20").select(F.lit("").alias("asked"), "p_partkey"))
 
 
+def id_or_keyword(spark, sf_dir):
+    """An id counts only above 0, a keyword only if it isn't blank; one or the other has to hold, nothing asked gives all."""
+    users = table(spark, sf_dir, "customer")
+
+    def found(name, number, keyword):
+        asked = [F.col("c_custkey") == number] * (number > 0) + [F.col("c_name").contains(keyword)] * bool(keyword.strip())
+        rows = users.where(asked[0] if len(asked) == 1 else asked[0] | asked[1]) if asked else users
+        return rows.select(F.lit(name).alias("asked"), "c_custkey")
+
+    return found("both", 7, "00012").unionByName(found("keyword", 0, "0001")).unionByName(found("id", 9, " ")).unionByName(found("none", -1, "").where("c_custkey < 30"))
+
+
 def live_task(spark, sf_dir):
     """The first task of each user that is still active."""
     tasks = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
@@ -178,7 +190,7 @@ def key_expired(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pk_lookup, first_match, required_row, ordered_scan, ids_in, newest_first, nulls_first, oldest_first, category_order, codepoint_order,
     registration_order, oldest_alias, page_if_asked, invitation_page, sync_log_page, first_items, page_with_total, other_owner_count,
-    optional_relation_count, default_pointer, membership_join_order, empty_scope, provider_support, live_task, ttl_live, key_expired,
+    optional_relation_count, default_pointer, membership_join_order, empty_scope, provider_support, id_or_keyword, live_task, ttl_live, key_expired,
 )}
 _MEMBERS = "(select *, case when o_orderstatus = 'P' then o_orderdate end as deleted_at from orders)"
 SQL = {
@@ -215,6 +227,10 @@ union all select 'all', event_id from events where event_type = 'error'
     "membership_join_order": "select o_orderkey, n_name from orders join nation on n_nationkey = floor(o_totalprice - 30 * floor(o_totalprice / 30)) where o_custkey = 13 and o_orderstatus <> 'P' order by o_orderdate, o_orderkey",
     "empty_scope": "select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'O'",
     "provider_support": "select 'widget' as asked, p_partkey from part where ' ' || p_name || ' ' like '% widget %' union all select '', p_partkey from part where p_partkey < 20",
+    "id_or_keyword": """
+select 'both' as asked, c_custkey from customer where c_custkey = 7 or c_name like '%00012%' union all select 'keyword', c_custkey from customer where c_name like '%0001%'
+union all select 'id', c_custkey from customer where c_custkey = 9 union all select 'none', c_custkey from customer where c_custkey < 30
+""",
     "live_task": "select user_id, event_id, event_type from events where event_type in ('click', 'view') qualify row_number() over (partition by user_id order by ts, event_id) = 1",
     "ttl_live": "select event_id from events where ts > timestamp '2024-01-19 23:55:00'",
     "key_expired": "select o_orderkey, o_orderstatus <> 'O' and o_orderdate < timestamp '1997-06-01' as expired from orders",
