@@ -51,7 +51,7 @@ BLOCK = 2_048
 ENTRIES_A_PART = 250_000
 #: Members of tiles with the same main component that one task takes.
 FAMILY = 16_000
-#: Members from which on a tile of several components is formed anew, by the counts of all shingles of its members.
+#: Members outside its main component from which on a tile is formed anew, by the counts of all shingles of its members.
 DENSE = 256
 
 
@@ -463,7 +463,7 @@ def _opened(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]
     """(members with their components, tiles that join two components: hash, members, main component), the latter written."""
     tagged = members.select("hash", "sid", "n", "pos").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     of_tile = tagged.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash")
-    opened = of_tile.agg(F.count("*").alias("roots"), F.sum("k").alias("members"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
+    opened = of_tile.agg(F.count("*").alias("roots"), F.sum("k").alias("members"), F.max("k").alias("in_main"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
     return tagged, written(opened.drop("roots"), "open-tiles")
 
 
@@ -505,8 +505,8 @@ def _tiles(texts: DataFrame, size: int, percent: int, total: int, whole: bool, n
 
 
 def _dense(tagged: DataFrame, opened: DataFrame, texts: DataFrame, homes: DataFrame, dense: int) -> tuple[DataFrame, DataFrame] | None:
-    """(large open tiles, texts of their members), or None if there are none."""
-    large = written(opened.where(F.col("members") > dense).select("hash"), "dense-tiles")
+    """(open tiles with many members outside their main component, texts of their members), or None if there are none."""
+    large = written(opened.where(F.col("members") - F.col("in_main") > dense).select("hash"), "dense-tiles")
     if not large.limit(1).count():
         return None
     sids = tagged.join(large, "hash", "left_semi").select("sid").distinct()
