@@ -26,9 +26,10 @@ def overlaps(pairs: DataFrame, keys: list[str], text: str, reference: str, sizes
     and are counted per pair and gram in each task first."""
 
     def tagged(c: str, n: int, side: int) -> Column:
-        return F.transform(ngrams(words(F.col(c)), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram"), F.lit(side).alias("side")))
+        return F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram"), F.lit(side).alias("side")))
 
-    each = pairs.select(*keys, F.inline(F.concat(*[tagged(c, n, side) for n in sizes for c, side in ((text, 1), (reference, 0))])))
+    cut = pairs.select(*keys, words(F.col(text)).alias("_t"), words(F.col(reference)).alias("_r"))  # once, not for every gram
+    each = cut.select(*keys, F.inline(F.concat(*[tagged(c, n, side) for n in sizes for c, side in (("_t", 1), ("_r", 0))])))
     counted = each.groupBy(*keys, "size", "gram").agg(F.count_if(F.col("side") == 1).alias("_a"), F.count_if(F.col("side") == 0).alias("_b"))
     return counted.groupBy(*keys, "size").agg(F.sum(F.least("_a", "_b")).alias("hits"), F.sum("_a").alias("n_text"), F.sum("_b").alias("n_reference"))
 
