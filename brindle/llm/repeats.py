@@ -11,7 +11,8 @@ sorted in one place, so the sort is dealt out by content:
 3. Sorting. Only anchors with two or more different segments are looked at further. One copy of each of these is
    fetched, and deep-shallow sorting orders what follows the anchors and, reversed, what precedes them. Two windows are equal
    where both common prefixes reach far enough, so the two orders with their common prefixes show every window's class.
-   An anchor with more than ``most`` different segments is dealt out again by a longer core, the window itself.
+   An anchor with more than ``most`` different segments is split by longer cores, what stands behind it and what stands
+   before it; a core that is too large still is split by the longest one, the window itself, of which equal ones are counted.
 4. Verdicts go back to the documents by segment; ranges are united and cut out.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing. Repeated rows count as texts of their
@@ -41,7 +42,7 @@ from brindle.llm.worker import tidy
 LENGTH = 400
 GRAM = 48
 #: Different segments of an anchor that one task orders.
-MOST = 4_096
+MOST = 1_024
 #: Segments whose classes are told apart in one go.
 TOGETHER = 50_000
 
@@ -102,10 +103,12 @@ def _segment_batches(length: int, gram: int):
 # --- classes of windows within the segments of an anchor ----------------------------------------------------------------
 
 
-def repeated_starts(groups: list[list[tuple[bytes, int, int]]], length: int) -> list[list[int]]:
+def repeated_starts(groups: list[list[tuple[bytes, int, int]]], length: int, ranges: list[tuple[int, int]] | None = None) -> list[list[int]]:
     """For groups of different segments (bytes, anchor's distance, starts) with one anchor gram each: per segment, in
-    order, [from, to) pairs of the starts whose windows stand in another segment of the group too."""
+    order, [from, to) pairs of the starts whose windows stand in another segment of the group too. ``ranges`` limits the
+    windows of each group to those that begin so many bytes before their anchor ([from, to))."""
     total = sum(map(len, groups))
+    low, high = (np.repeat([r[k] for r in ranges or [(0, length)] * len(groups)], list(map(len, groups))) for k in (0, 1))
     after_order, after_shared, before_order, before_shared = (np.zeros(total, np.int64) for _ in range(4))
     anchor, starts = (np.array([s[k] for g in groups for s in g], np.int64) for k in (1, 2))
     base = 0
@@ -123,7 +126,7 @@ def repeated_starts(groups: list[list[tuple[bytes, int, int]]], length: int) ->
     before, after = np.zeros(total, np.int64), np.zeros(total, np.int64)
     places = np.arange(total)
     for o in range(repeated.shape[1]):
-        has = np.flatnonzero((anchor >= o) & (anchor - starts < o))
+        has = np.flatnonzero((anchor >= o) & (anchor - starts < o) & (low <= o) & (o < high))
         if len(has) < 2:
             continue
         before[before_order] = np.maximum.accumulate(np.where(before_shared < o, places, 0))
@@ -167,23 +170,24 @@ _VERDICT = "gram long, segment long, ranges array<int>"
 
 
 def _class_batches(length: int):
-    """Segments, sorted by gram -> the ranges of repeated starts of those that have any."""
+    """Segments, sorted by core -> the ranges of repeated starts of those that have any."""
 
     def judged(groups: list[list[tuple]]) -> pa.RecordBatch:
-        found = repeated_starts([[s[2:] for s in g] for g in groups], length)
-        hit = [(s[0], s[1], ranges) for s, ranges in zip((s for g in groups for s in g), found, strict=True) if ranges]
+        found = repeated_starts([[s[3:6] for s in g] for g in groups], length, [g[0][6:8] for g in groups])
+        hit = [(s[1], s[2], ranges) for s, ranges in zip((s for g in groups for s in g), found, strict=True) if ranges]
         grams, hashes, ranges = zip(*hit, strict=True) if hit else ((),) * 3
         return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["gram", "segment", "ranges"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in (0, 1, 5, 2, 3)), strict=True)
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("core", "gram", "segment", "data", "anchor", "starts", "low", "high"))
+            yield from zip(*columns, strict=True)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, held = [], 0
-        for _, members in groupby(rows(batches), key=lambda s: s[0]):
-            group = list({s[1]: s for s in members}.values())  # a row that stands twice was fetched twice
+        for _, members in groupby(rows(batches), key=lambda s: (s[0], s[6])):
+            group = list({s[1:3]: s for s in members}.values())  # a row that stands twice was fetched twice
             groups.append(group)
             held += len(group)
             if held >= TOGETHER:
@@ -195,27 +199,53 @@ def _class_batches(length: int):
     return run
 
 
+_CORED = "core long, gram long, segment long, anchor int, starts int, low int, high int, data binary"
+
+
+def _half_batches(length: int, gram: int):
+    """Segments of oversize anchors -> the same under longer cores. Windows that begin in the nearer half before their anchor all
+    cover the bytes behind it, the others those before it: these bytes, more than a third of a window, are the core."""
+    near = (length - gram) // 2 + 1
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for grams, hashes, anchor, starts, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gram", "segment", "anchor", "starts", "data")), strict=True):
+                sides = []
+                if anchor - starts + 1 < near:
+                    sides.append((0, near, data[anchor : anchor + length - near + 1]))
+                if anchor >= near:
+                    sides.append((near, length, data[anchor - near : anchor + gram]))
+                for low, high, core in sides:
+                    digest = hashlib.blake2b(core, digest_size=8, key=b"%d" % low).digest()
+                    out.append((int.from_bytes(digest, "little", signed=True), grams, hashes, anchor, starts, low, high, data))
+            columns = zip(*out, strict=True) if out else ((),) * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["core", "gram", "segment", "anchor", "starts", "low", "high", "data"])
+
+    return run
+
+
 def _window_batches(length: int):
-    """Segments of oversize anchors -> (gram, segment, start, distance, digest) of each of their windows."""
+    """Segments of oversize cores -> (gram, segment, start, distance, digest) of each of their windows."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for grams, hashes, anchor, starts, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
-                at = np.arange(starts)
+            fields = ("gram", "segment", "anchor", "starts", "low", "high", "data")
+            for grams, hashes, anchor, starts, low, high, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in fields), strict=True):
+                at = np.arange(max(0, anchor - high + 1), min(starts, anchor - low + 1))
                 digest = tb.substring_hashes(tb.prefix_hashes(np.frombuffer(data, np.uint8), lower=False), at, at + length)
-                one = lambda x, n=starts: pa.array(np.full(n, x, np.int64))
+                one = lambda x, n=len(at): pa.array(np.full(n, x, np.int64))
                 yield pa.RecordBatch.from_arrays([one(grams), one(hashes), pa.array(at.astype(np.int32)), pa.array((anchor - at).astype(np.int32)), pa.array(digest.view(np.int64))], names=["gram", "segment", "start", "distance", "digest"])
 
     return run
 
 
-def _oversize(fetched: DataFrame, length: int) -> DataFrame:
-    """Verdicts of the anchors that are too large for a task: their windows are dealt out and counted one by one."""
-    spark = fetched.sparkSession
-    if not fetched.where("many").limit(1).count():
-        return spark.createDataFrame([], _VERDICT)
-    each = fetched.where("many").dropDuplicates(["gram", "segment"]).mapInArrow(_window_batches(length), "gram long, segment long, start int, distance int, digest long")
+def _by_window(cored: DataFrame, length: int) -> DataFrame:
+    """Verdicts of the cores that are too large for a task: their windows are dealt out and counted one by one."""
+    each = cored.dropDuplicates(["gram", "segment", "low"]).mapInArrow(_window_batches(length), "gram long, segment long, start int, distance int, digest long")
     each = written(each, "windows")
     key = ["gram", "distance", "digest"]
     twice = written(each.groupBy(key).count().where("count > 1").select(key), "repeated-windows")
@@ -223,6 +253,20 @@ def _oversize(fetched: DataFrame, length: int) -> DataFrame:
     return single.groupBy("gram", "segment").agg(F.flatten(F.transform(F.sort_array(F.collect_list("one")), lambda x: F.array(x["a"], x["b"]))).alias("ranges"))
 
 
+def _classes(fetched: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(gram, segment, ranges) of the repeated starts of fetched segments, several rows of a segment where they were split."""
+    sort = lambda df: df.repartition("core").sortWithinPartitions("core", "low").mapInArrow(_class_batches(length), _VERDICT)
+    whole = fetched.where("not many").select(F.col("gram").alias("core"), "gram", "segment", "anchor", "starts", F.lit(0).alias("low"), F.lit(length).alias("high"), "data")
+    if not fetched.where("many").limit(1).count():
+        return sort(whole)
+    halves = written(fetched.where("many").dropDuplicates(["gram", "segment"]).mapInArrow(_half_batches(length, gram), _CORED), "halves")
+    large = written(halves.groupBy("core").count().where(F.col("count") > most).select("core"), "large-cores")
+    few = sort(whole.unionByName(halves.join(large, "core", "left_anti").select(*whole.columns)))
+    if not large.limit(1).count():
+        return few
+    return few.unionByName(_by_window(halves.join(large, "core", "left_semi"), length))
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------------
 
 RESULTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
@@ -277,9 +321,8 @@ def remove_repeats(df: DataFrame, *, text_col: str = "text", length: int = LENGT
     wanted = written(wanted, "wanted-segments")
     found = texts.join(wanted, (texts["_r1"] == wanted["r1"]) & (texts["_r2"] == wanted["r2"])).select(text_col, "wanted")
     fetched = written(found.mapInArrow(_fetch_batches(length), _FETCHED), "fetched-segments")
-    few = fetched.where("not many").repartition("gram").sortWithinPartitions("gram").mapInArrow(_class_batches(length), _VERDICT)
     whole = distinct.where("n > 1").select("gram", "segment", F.array(F.lit(0), F.col("home.starts")).alias("ranges"))
-    some = few.unionByName(_oversize(fetched, length)).join(distinct.where("n = 1").select("gram", "segment"), ["gram", "segment"], "left_semi")
+    some = _classes(fetched, length, gram, most).join(distinct.where("n = 1").select("gram", "segment"), ["gram", "segment"], "left_semi")
     verdicts = written(whole.unionByName(some), "verdicts")
     hits = written(occur.join(verdicts, ["gram", "segment"]).select("r1", "r2", "start", "ranges"), "repeats")
     of_rows = hits.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "ranges")).alias("found"))

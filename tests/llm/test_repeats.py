@@ -49,7 +49,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "length", "most"), [(1, 100, 4096), (2, 60, 4096), (3, 100, 2)])
+@pytest.mark.parametrize(("seed", "length", "most"), [(1, 100, 4096), (2, 60, 4096), (3, 100, 2), (4, 100, 5), (5, 60, 3)])
 def test_against_every_window(spark, seed, length, most):
     texts = corpus(seed)
     rows = [(i, t, "extra") for i, t in enumerate(texts)]
