@@ -209,7 +209,7 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
     """The model of the labelled rows of ``df``, at most about ``rows_a_language`` of each language (see ``common.sampled``)."""
     columns = {"_id": F.col(id_col), "_lang": F.col(lang_col).cast("string"), "_text": F.col(text_col).cast("string")}
-    labelled = df.select(*[c.alias(name) for name, c in columns.items()]).where("_id is not null and _lang is not null and _text is not null")
+    labelled = df.select(*[c.alias(name) for name, c in columns.items()]).where("_id is not null and _lang is not null")  # texts are only read for the sample
     counted = sampled(labelled, "_lang", "_id", rows_a_language).select("_lang", "_text").mapInArrow(_gram_batches, "lang string, feature long, n long")
     found = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found["lang"].to_pylist()))
