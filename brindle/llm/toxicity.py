@@ -76,7 +76,7 @@ def loss(w: np.ndarray, theta: np.ndarray, grade: np.ndarray, row: np.ndarray, f
     return float(-np.log(np.maximum(between, 1e-12)).mean() + l1 * np.abs(w).sum())
 
 
-def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, n_grades: int, *, l1: float = L1, steps: int = 4_000, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, n_grades: int, *, l1: float = L1, steps: int = 4_000, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient; ``row``/``feature`` mark the ones of the design matrix.
 
     Thresholds are free parameters beside the weights. The step is one over the largest curvature, found by power iteration
