@@ -75,10 +75,10 @@ class ChunkEncoder:
             if len(ends) != len(group):
                 others += group
                 continue
-            data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.add((c, data[a:b]) for c, a, b in zip(group, edges[:-1], edges[1:], strict=True))
+            data, edges = ids.tobytes(), (4 * ends).tolist()
+            self.known.add(group, [data[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)])
         found = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
-        self.known.add((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(others, found, strict=True))
+        self.known.add(others, [np.asarray(e.ids, "<u4").tobytes() for e in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -92,8 +92,8 @@ class ChunkEncoder:
             # a mark after a letter or digit is a pre-token of its own, so only the word before it needs the library
             marked = {c for c in missing if c[-1] in _MARKS and c[-2:-1].isalnum()}
             self._learn(list(self.known.missing(missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked})))
-            known = self.known.young
-            self.known.add((c, known[c[:-1]] + known[c[-1:]]) for c in marked)
+            known, marked = self.known.young, list(marked)
+            self.known.add(marked, [known[c[:-1]] + known[c[-1:]] for c in marked])
         return [b"".join(map(self.known.young.__getitem__, chunks)) for chunks in split]
 
 

@@ -61,15 +61,14 @@ class Recent:
         """The keys that aren't held; the others are in ``young`` from here on."""
         keys = keys.difference(self.young)
         if self.old and keys:
-            back = [k for k in keys if k in self.old]
-            self.add(((k, self.old[k]) for k in back), turn=False)
+            back = list(keys.intersection(self.old))
+            self.add(back, list(map(self.old.__getitem__, back)))
             keys.difference_update(back)
         return keys
 
-    def add(self, pairs, turn: bool = True) -> None:
-        for key, value in pairs:
-            self.young[key] = value
-            self.held += self.each + len(key) + len(value)
+    def add(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.held += self.each * len(keys) + sum(map(len, keys)) + sum(map(len, values))
 
     def turn(self) -> None:
         """Between batches: starts a new half where the young one is full."""

@@ -15,7 +15,7 @@ def test_recent_keeps_what_is_asked_for_again():
         kept.turn()
         for key in kept.missing({b"common", b"rare%d" % i}):
             assert key != b"common" or i == 0
-            kept.add([(key, b"v" + key)])
+            kept.add([key], [b"v" + key])
         assert kept.young[b"common"] == b"vcommon"
         assert kept.held <= 400 and len(kept.young) + len(kept.old) < 40
 
