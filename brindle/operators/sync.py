@@ -60,10 +60,11 @@ def merged_by_rule(current: DataFrame, feed: DataFrame, key: str, value: str, ru
 
 
 def tree_ancestors(nodes: DataFrame, asked: DataFrame, node: str, parent: str) -> DataFrame:
-    """Distinct ancestors of the asked nodes, each once; a recursive query, so the tree may have any depth."""
+    """Distinct ancestors of the asked nodes, each once; a recursive query, so the tree may have any depth. It starts from the
+    distinct parents, so its rows follow the inner nodes; beyond ``spark.sql.cteRecursionRowLimit`` it is an error."""
     return nodes.sparkSession.sql(
         f"""with recursive up(id) as (
-              select {parent} from {{nodes}} join {{asked}} using ({node}) where {parent} is not null
+              select distinct {parent} from {{nodes}} join {{asked}} using ({node}) where {parent} is not null
               union all select n.{parent} from up join {{nodes}} n on n.{node} = up.id where n.{parent} is not null)
             select distinct id as {node} from up""",
         nodes=nodes, asked=asked,
