@@ -72,16 +72,19 @@ def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_task))
 
 
-BANDS = 1 << 16
+#: Bands of a hash to each doubling of it.
+BANDS = 32
 
 
 def sampled(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
     """Rows of ``df`` with at most ``most`` rows of each group, chosen by a hash of their ids, the same in every run.
 
-    Rows are counted by group and band of the hash (combined in each task first, at most ``BANDS`` rows a group), and a
-    group's bands are taken in order as long as they fit, so no group's rows are ever sorted or gathered. Rows that share an
-    id share a band; a group whose first band is too large for itself gives that band."""
-    banded = df.withColumn("_band", F.shiftrightunsigned(F.xxhash64(id_col), 48))
+    Rows are counted by group and band of the hash (combined in each task first). Bands grow in proportion to the hash, so
+    there are 64 * ``BANDS`` of them at most and a group of any size has bands that are small beside ``most``; a group's bands
+    are taken from the lowest on as long as they fit, so no group's rows are ever sorted or gathered. Rows that share an id
+    share a band; a group whose first band is too large for itself - one id with more than ``most`` rows - gives that band."""
+    height = F.shiftrightunsigned(F.xxhash64(id_col), 1).cast("double")
+    banded = df.withColumn("_band", F.floor(BANDS * F.log2(height + 1.0)))
     counts = banded.groupBy(group, "_band").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(group).orderBy("_band")
     ranked = counts.select(group, "_band", F.sum("_n").over(upto).alias("_upto"), F.row_number().over(upto).alias("_nth"))
