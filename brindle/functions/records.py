@@ -10,6 +10,11 @@ from brindle.functions.text import blank, strip
 MASK = "***"
 #: fixed values: header names that carry credentials
 AUTH_HEADERS = ("authorization", "cookie", "proxy-authorization")
+#: fixed values: words in connection errors, by class, in the order in which they are looked for
+ERROR_WORDS = (
+    ("unauthorized", ("401", "unauthorized")), ("forbidden", ("403", "forbidden")), ("not_found", ("404", "not found")),
+    ("timeout", ("timeout", "context deadline exceeded")), ("unreachable", ("connection refused", "no such host", "dial tcp", "connect")),
+)
 
 
 def without(df: DataFrame, hidden: set[str]) -> DataFrame:
@@ -123,12 +128,8 @@ def error_class(detail: Column) -> Column:
     """A connection error's class by the first of an ordered list of word tests."""
     low = F.lower(detail)
     has = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
-    kinds = (
-        ("unauthorized", ("401", "unauthorized")), ("forbidden", ("403", "forbidden")), ("not_found", ("404", "not found")),
-        ("timeout", ("timeout", "context deadline exceeded")), ("unreachable", ("connection refused", "no such host", "dial tcp", "connect")),
-    )
     out = None
-    for name, words in kinds:
+    for name, words in ERROR_WORDS:
         out = F.when(has(*words), name) if out is None else out.when(has(*words), name)
     return out.otherwise("other")
 
