@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontam, fim, jaccard, langid, licenses, packing, quality, repeats, secrets, sharding, tokens, toxicity
+from brindle.llm import conversations, decontam, fim, jaccard, langid, licenses, packing, quality, repeats, secrets, sharding, tokens, toxicity
 
-MODULES = (secrets, packing, repeats, decontam, tokens, licenses, langid, quality, toxicity, jaccard, sharding, fim)
+MODULES = (secrets, packing, repeats, decontam, tokens, licenses, langid, quality, toxicity, jaccard, conversations, sharding, fim)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
