@@ -162,11 +162,11 @@ def _code(role: Column, text: Column) -> Column:
 _LONGS = pa.list_(pa.int64())
 
 
-def _cut(columns: dict[str, list]) -> Iterator[tuple[int, int]]:
+def _cut(columns: dict[str, list], most: int) -> Iterator[tuple[int, int]]:
     """Bounds of chunks: one conversation each, bounded in rows and bytes (a longer row stands alone)."""
     start = size = 0
     for i, (conv, text) in enumerate(zip(columns["_conv"], columns["_text"], strict=True)):
-        if i > start and (conv != columns["_conv"][start] or i - start == CHUNK_ROWS or size + len(text) > CHUNK_BYTES):
+        if i > start and (conv != columns["_conv"][start] or i - start == most or size + len(text) > CHUNK_BYTES):
             yield start, i
             start, size = i, 0
         size += len(text)
@@ -174,7 +174,7 @@ def _cut(columns: dict[str, list]) -> Iterator[tuple[int, int]]:
         yield start, len(columns["_conv"])
 
 
-def _chunk_batches(conv_type: pa.DataType):
+def _chunk_batches(conv_type: pa.DataType, most: int):
     schema = pa.schema([("conv", conv_type), ("chunk", pa.int64()), *[(c, _LONGS) for c in ("turns", "counts", "codes", "h1", "h2")], ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
 
     @tidy
@@ -182,7 +182,7 @@ def _chunk_batches(conv_type: pa.DataType):
         at = TaskContext.get().partitionId() << 32  # range partitions are in order, so these ids are too
         for batch in batches:
             columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            for start, end in _cut(columns):
+            for start, end in _cut(columns, most):
                 values = [[x] for x in (columns["_conv"][start], at, *(columns[c][start:end] for c in ("_turn", "_n", "_code", "_h1", "_h2", "_role", "_text")))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
                 at += 1
@@ -190,7 +190,7 @@ def _chunk_batches(conv_type: pa.DataType):
     return run
 
 
-def chunked(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def chunked(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sorted rows in chunks whose ids grow with their order, written. Equal rows are counted in each task before they move."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     named = df.select(F.col(conv).alias("_conv"), F.col(turn).cast("long").alias("_turn"), part(role).alias("_role"), part(text).alias("_text"))
@@ -200,7 +200,7 @@ def chunked(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     dealt = rows.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     kind = named.schema["_conv"].dataType.simpleString()
     arrays = ", ".join(f"{c} array<bigint>" for c in ("turns", "counts", "codes", "h1", "h2"))
-    made = dealt.mapInArrow(_chunk_batches(_arrow_type(kind)), f"conv {kind}, chunk bigint, {arrays}, roles array<string>, texts array<string>")
+    made = dealt.mapInArrow(_chunk_batches(_arrow_type(kind), chunk_rows), f"conv {kind}, chunk bigint, {arrays}, roles array<string>, texts array<string>")
     return written(made, "chunks")
 
 
@@ -390,17 +390,17 @@ def _edited(chunks: DataFrame, walk: DataFrame) -> DataFrame:
     return chunks.select("conv", "chunk", "turns", "counts", "codes", "roles", "texts").join(walk.select("chunk", "piece", "entered"), "chunk")
 
 
-def repaired_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def repaired_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The repaired conversations' rows: conv, (chunk, place) in their order, turn (null for inserted rows), role, text and the
     edit (K, R or I)."""
-    chunks = chunked(df, conv, turn, role, text)
+    chunks = chunked(df, conv, turn, role, text, chunk_rows)
     kind = chunks.schema["conv"].dataType.simpleString()
     return _mapped(_edited(chunks, walked(chunks)), _repaired, f"conv {kind}, chunk bigint, place int, turn bigint, role string, text string, edit string").withColumnRenamed("conv", conv)
 
 
-def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A row a conversation: gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256."""
-    chunks = chunked(df, conv, turn, role, text)
+    chunks = chunked(df, conv, turn, role, text, chunk_rows)
     kind = chunks.schema["conv"].dataType.simpleString()
     walk = walked(chunks)
     bodies = _mapped(_edited(chunks, walk), _bodies, f"conv {kind}, chunk bigint, piece string, body string")
