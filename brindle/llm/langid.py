@@ -1,8 +1,8 @@
 """Language identification of mixed-language text.
 
 Each word gets a score for each learned language from its byte n-grams (2 to 4 bytes, with the blanks around it, hashed
-to ``BUCKETS`` a length; smoothed log shares). The word's script, told by the ranges of its UTF-8 lead bytes, narrows
-the languages to those that were learned in that script. Viterbi over a text's words, with a penalty for each switch,
+to ``BUCKETS`` a length; smoothed log shares). A word ends at blanks and where letters of another script begin. Its script,
+told by the ranges of its UTF-8 lead bytes, narrows the languages to those that were learned in that script. Viterbi over a text's words, with a penalty for each switch,
 labels spans; the language with most bytes in its spans is the text's, and its share of them the score.
 
 Learning counts n-grams of a bounded sample of labelled rows: at most ``rows_a_language`` of each language, in the order
@@ -17,7 +17,7 @@ null id or null language are never learned from. Memory follows an Arrow batch a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,20 @@ def _grams(raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _split_at_scripts(w: tb.Words) -> tb.Words:
+    """Words cut where letters of another script begin, so texts without blanks can be of several languages."""
+    letters = np.flatnonzero(_LETTERLIKE[w.raw] & (_SCRIPT[w.raw] != SCRIPTS.index("other")))
+    script = _SCRIPT[w.raw[letters]]
+    at = np.flatnonzero(script[1:] != script[:-1]) + 1
+    word = np.searchsorted(w.start, letters[at], side="right") - 1
+    cuts = letters[at][letters[at - 1] >= w.start[word]]
+    if not len(cuts):
+        return w
+    start, end = np.sort(np.concatenate([w.start, cuts])), np.sort(np.concatenate([w.end, cuts]))
+    row = np.searchsorted(w.ends_of_rows, start, side="right") - 1
+    return replace(w, start=start, end=end, row=row, first=np.searchsorted(row, np.arange(len(w.ends_of_rows))))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -76,7 +90,7 @@ class Model:
     allowed: np.ndarray  # (scripts, languages): learned in that script
 
     def word_scores(self, column: pa.Array) -> tuple[np.ndarray, tb.Words]:
-        w = tb.words(column)
+        w = _split_at_scripts(tb.words(column))
         n = len(self.languages)
         scores = np.zeros((len(w.start), n), np.float32)
         if not len(w.start):
@@ -97,15 +111,16 @@ class Model:
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word, all texts in step; ``first`` holds each text's first word (n + 1 entries)."""
-    labels = np.zeros(len(scores), np.uint8)
+    kind = np.min_scalar_type(max(scores.shape[1] - 1, 0))  # holds every label
+    labels = np.zeros(len(scores), kind)
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     if not len(scores):
         return labels
     start, lengths = first[:-1][order], lengths[order]
     alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts with a word t
-    came = np.zeros(scores.shape, np.uint8)  # label before, for each label
-    same = np.arange(scores.shape[1], dtype=np.uint8)
+    came = np.zeros(scores.shape, kind)  # label before, for each label
+    same = np.arange(scores.shape[1], dtype=kind)
     best = scores[start[: alive[0]]].astype(float)
     final = np.zeros(len(order), np.int64)
     for t in range(1, lengths[0] + 1):
@@ -118,7 +133,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         top = best.argmax(axis=1)
         moved = best[np.arange(now), top][:, None] - switch
         at = start[:now] + t
-        came[at] = np.where(best >= moved, same, top[:, None].astype(np.uint8))
+        came[at] = np.where(best >= moved, same, top[:, None].astype(kind))
         best = np.maximum(best, moved) + scores[at]
     state = final
     for t in range(lengths[0] - 1, -1, -1):
