@@ -1,7 +1,12 @@
 import base64
 import bz2
 import gzip
+import io
+import lzma
 import random
+import re
+import time
+import zipfile
 import zlib
 
 import pytest
@@ -74,3 +79,143 @@ def test_frames_beyond_the_limit(monkeypatch):
 def test_no_finds_in_plain_words():
     assert secrets.scan("a few\nplain words_and-more\nof no use")[1] == set()
     assert kinds(b64(NOISE)) == set()
+
+
+def heads(n, filler):
+    return b64(bytes.fromhex("780100ffff0000") * n + filler)
+
+
+def test_overlapping_stored_frames():
+    pick = random.Random(3)
+    filler = bytes(pick.choices(b"abcdefghijkl mnopqrstuvwxyz", k=70_000)) + b" " + SECRET.encode() + b" ."
+    began = time.time()
+    for n in (8, 3000):  # blocks end in other bytes, too, which give chance finds of their own
+        text = heads(n, filler[-60_000:])
+        assert any(k == 0 and e - s == 34 and e > len(text) - 10 for s, k, e in secrets.scan(text)[1])
+    assert "assign" in kinds(heads(3000, filler)) and time.time() - began < 30
+    tiny = bytes.fromhex("7801000100feff5800ffff0000")  # a block of one byte before the long one
+    assert "assign" in kinds(b64(tiny * 1000 + filler)) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("size", [10, 70_000, 200_000])
+def test_stored_frames_that_hold_frames(size):
+    filler = random.Random(1).randbytes(size)
+    inner = gzip.compress(filler + SECRET.encode())
+    assert kinds(b64(gzip.compress(inner, 0))) == {"assign"}  # goes on across the stored blocks
+    assert kinds(b64(gzip.compress(gzip.compress(inner, 0), 0))) == {"assign"}
+    assert kinds(b64(gzip.compress(b"x, y. " * size + SECRET.encode(), 0))) == {"assign"}
+
+
+def zipped(data, method):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("a/notes.txt", "nothing in here")
+        z.writestr("b.txt", data)
+    return out.getvalue()
+
+
+def raw(data, bits=-15):
+    c = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("pack", [
+    raw, lambda d: raw(d, 9), lambda d: raw(d, 12), lambda d: zipped(d, zipfile.ZIP_DEFLATED), lambda d: zipped(d, zipfile.ZIP_STORED),
+    lambda d: lzma.compress(d, lzma.FORMAT_ALONE), lzma.compress, lambda d: gzip.compress(zipped(d, zipfile.ZIP_DEFLATED)),
+])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "utf-16-le", "utf-16-be"])
+def test_more_frames_and_wide_text(pack, encoding):
+    data = f"some words, then {SECRET} and some more of them".encode(encoding)
+    assert kinds(f"see {b64(pack(data))} there") == {"assign"}
+    assert kinds(b64(data)) == {"assign"}
+
+
+@pytest.mark.parametrize("text", [
+    "password%u003Dhunter2hunter2", "password=%u0068unter2", "password&equals;hunter2hunter2", "&quot;password&quot;&colon;&quot;hunter2hunter2&quot;",
+    r"password\075hunter2hunter2", r"\160assword=hunter2hunter2", r"\70 assword=hunter2hunter2", r"password\3d hunter2hunter2", "p\0a\0s\0s\0w\0o\0r\0d\0=\0h\0u\0n\0t\0e\0r\0002\0",
+])
+def test_more_escapes(text):
+    found = secrets.scan(f"x {text} y")[1]
+    assert any(k == 0 and 2 <= s <= 8 and len(text) - 6 <= e <= 2 + len(text) for s, k, e in found)
+
+
+def origins(text):
+    """All layers of a text by its escapes and its single base64 runs, as (characters, their first and last places), found naively."""
+    start = tuple((c, i, i + 1) for i, c in enumerate(text))
+    seen, work = {start}, [start]
+
+    def rewritten(layer, pattern, decode):
+        now, out, at = "".join(c for c, _, _ in layer), [], 0
+        while at < len(now):
+            m = re.compile(pattern).match(now, at)
+            got = decode(m[0]) if m else None
+            if got is None:
+                out.append(layer[at])
+                at += 1
+            else:
+                out += [(c, layer[at + a][1], layer[at + b - 1][2]) for c, a, b in got]
+                at = m.end()
+        return tuple(out)
+
+    def percent(x):
+        got, at = [], 0
+        for c in bytes.fromhex(x.replace("%", "")).decode("utf-8", "surrogateescape"):
+            n = 3 * len(c.encode("utf-8", "surrogateescape"))
+            got.append((c, at, at + n))
+            at += n
+        return got
+
+    while work:
+        layer = work.pop()
+        now = "".join(c for c, _, _ in layer)
+        new = [rewritten(layer, "(?:%[0-9a-fA-F]{2})+", percent), rewritten(layer, r"\\u[0-9a-fA-F]{4}", lambda x: [(chr(int(x[2:], 16)), 0, 6)]), rewritten(layer, "&#[0-9]{1,7};", lambda x: [(chr(int(x[2:-1])), 0, len(x))])]
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", now):
+            for skip in range(4):
+                body = m[0][skip:].replace("-", "+").replace("_", "/")
+                body = body[: len(body) - (len(body) % 4 == 1)]
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+                piece = layer[m.start() + skip : m.end()]
+                got, at = [], 0
+                for c in data.decode("utf-8", "surrogateescape"):
+                    n = len(c.encode("utf-8", "surrogateescape"))
+                    got.append((c, piece[at * 8 // 6][1], piece[min(((at + n) * 8 + 5) // 6, len(piece)) - 1][2]))
+                    at += n
+                new.append(tuple(got))
+        for x in new:
+            if x not in seen:
+                seen.add(x)
+                work.append(x)
+    return seen
+
+
+def test_decoded_spans_against_naive_layers():
+    pick = random.Random(11)
+
+    def wrapped(data):
+        for _ in range(pick.randrange(4)):
+            way = pick.randrange(4)
+            if way == 0:
+                data = base64.b64encode(data.encode()).decode().rstrip("=")
+            elif way == 1:
+                data = "".join(f"%{ord(c):02x}" if pick.random() < 0.5 else c for c in data)
+            elif way == 2:
+                data = "".join(f"\\u{ord(c):04x}" if pick.random() < 0.3 else c for c in data)
+            else:
+                data = "".join(f"&#{ord(c)};" if pick.random() < 0.3 else c for c in data)
+            data = pick.choice(["", "see ", "a-", "/x/"]) + data + pick.choice(["", " end", ".", "-b"])
+        return data
+
+    decoded = 0
+    for _ in range(250):
+        text = " ".join(wrapped(pick.choice([SECRET, "token: 'abc_def-1'", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "no secret"])) for _ in range(2))
+        want = set()
+        for layer in origins(text):
+            now = "".join(c for c, _, _ in layer)
+            for kind, pattern in enumerate((r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")):
+                for m in re.finditer(pattern, now):
+                    if len(m[2] if kind == 0 else m[0]) >= (6, 20, 24)[kind]:
+                        want.add((layer[m.start()][1], kind, layer[m.end() - 1][2]))
+        base, found, *_ = secrets.scan(text)
+        assert found == want, text
+        decoded += len(found) > len(base)
+    assert decoded > 80
