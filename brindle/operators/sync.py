@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.work import written
+
 
 def outcomes(current: DataFrame, feed: DataFrame, key: str, digest: str, *, deleted: str, failed: Column, sync_deletions: bool) -> DataFrame:
     """Each item of the feed with an outcome: failed, deleted, created, updated or skipped. One left join by key."""
@@ -59,16 +61,45 @@ def merged_by_rule(current: DataFrame, feed: DataFrame, key: str, value: str, ru
     return joined.select(key, kept.alias(value))
 
 
+def _parents(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    return nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).where("_n is not null and _p is not null").distinct()
+
+
+def _jump_on(jumps: DataFrame) -> DataFrame:
+    """Jumps of twice the length."""
+    return jumps.join(jumps.select(F.col("_n").alias("_p"), F.col("_p").alias("_q")), "_p").select("_n", F.col("_q").alias("_p")).distinct()
+
+
 def tree_ancestors(nodes: DataFrame, asked: DataFrame, node: str, parent: str) -> DataFrame:
-    """Distinct ancestors of the asked nodes, each once; a recursive query, so the tree may have any depth. It starts from the
-    distinct parents, so its rows follow the inner nodes; beyond ``spark.sql.cteRecursionRowLimit`` it is an error."""
-    return nodes.sparkSession.sql(
-        f"""with recursive up(id) as (
-              select distinct {parent} from {{nodes}} join {{asked}} using ({node}) where {parent} is not null
-              union all select n.{parent} from up join {{nodes}} n on n.{node} = up.id where n.{parent} is not null)
-            select distinct id as {node} from up""",
-        nodes=nodes, asked=asked,
-    )
+    """Distinct ancestors of the asked nodes, each once, in a tree of any depth, by doubled jumps: with jumps of 2**i steps those
+    found so far, at most 2**i steps away, give the ones up to 2**(i + 1) away. So there are about log2(depth) rounds, each a
+    join by key and written. In a cycle a node is its own ancestor; the rounds end all the same (see ``tree_cycles``). Leaves
+    that weren't asked for aren't jumped from."""
+    edges = _parents(nodes, node, parent)
+    inner = edges.join(edges.select(F.col("_p").alias("_n")).distinct(), "_n", "left_semi")
+    jumps = written(inner, "jumps")
+    found = written(edges.join(asked.select(F.col(node).alias("_n")).distinct(), "_n", "left_semi").select(F.col("_p").alias("_n")).distinct(), "ancestors")
+    count = found.count()
+    while True:
+        more = found.join(jumps, "_n").select(F.col("_p").alias("_n"))
+        found = written(found.union(more).distinct(), "ancestors")
+        before, count = count, found.count()
+        if count == before:  # nothing one step beyond them is new
+            return found.select(F.col("_n").alias(node))
+        jumps = written(_jump_on(jumps), "jumps")
+
+
+def tree_cycles(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """The nodes that stand on a cycle, where a node has one parent at most. Jumps of more steps than there are nodes end on a
+    cycle or nowhere, and every node of a cycle is the end of one; leaves need no jumps."""
+    edges = _parents(nodes, node, parent)
+    jumps = written(edges.join(edges.select(F.col("_p").alias("_n")).distinct(), "_n", "left_semi"), "jumps")
+    steps, count = 1, jumps.count()
+    most = count
+    while count and steps <= most:
+        jumps = written(_jump_on(jumps), "jumps")
+        steps, count = 2 * steps, jumps.count()
+    return jumps.select(F.col("_p").alias(node)).distinct()
 
 
 def answers(chunks: DataFrame, by: list[str], pos: str, text: str, done: str) -> DataFrame:

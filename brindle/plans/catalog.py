@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import changes, evaluation, feeds, listings, lookups, overview, policies, projections, search, updates
+from brindle.plans import changes, evaluation, feeds, listings, lookups, overview, policies, projections, ranked, search, updates
 
-MODULES = (overview, lookups, listings, projections, policies, changes, updates, feeds, search, evaluation)
+MODULES = (overview, lookups, listings, projections, policies, changes, updates, feeds, search, evaluation, ranked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
