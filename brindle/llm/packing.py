@@ -37,9 +37,9 @@ SHIFTS = (0, 1, -1, 3)
 ROUNDS = ((2, 1), (2, 8), (3, 1), (3, 8), (6, 1), (6, 8), (12, 8))
 REPEATS = 2
 #: Bytes of encoded chunks that a worker keeps.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 48 << 20
 #: What a chunk and its ids take beside their own bytes: two objects' heads and a place in a map.
-CHUNK_BYTES = 150
+CHUNK_BYTES = 200
 LETTERS_TOGETHER = 2_000
 _MARKS = b".,;:!?"
 
@@ -112,7 +112,7 @@ def _piece_batches(text_at: int, path: str, end_id: int, capacity: int, keep_ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.as_strings(batch.column(text_at))
-            for a, b in tb.slices(column, 4 << 20):
+            for a, b in tb.slices(column):
                 rows, piece, start, length, crc, data = [], [], [], [], [], []
                 for i, ids in enumerate(encoder(path).encode(column.slice(a, b - a).to_pylist()), a):
                     ids += end
@@ -221,10 +221,15 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in order, repeats): sequences that together hold exactly ``counts[n]`` pieces of each length n.
 
     Patterns of few pieces come first, so that short pieces stay for where one of them completes a sequence; what they leave is
-    enumerated, fitted and rounded again with more pieces and more waste allowed. Best fit packs the residual."""
+    enumerated, fitted and rounded again with more pieces and more waste allowed. Best fit packs the residual. It is tried on
+    what each round leaves, and the rounds stop where patterns and residual make the fewest sequences, so there are never more
+    than best fit alone would make."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
+    sequences = lambda planned: sum(times for _, times in planned)
+    rest = best_fit(left, capacity)
+    best = (sequences(rest), 0, rest)  # sequences, patterns used, residual
     for most, waste in ROUNDS:
         for _ in range(REPEATS):
             before = int(left.sum())
@@ -232,7 +237,11 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             out += rounded(rows, fit_repeats(rows, left), spare, left)
             if before - int(left.sum()) <= before // 20:
                 break
-    return out + best_fit(left, capacity)
+        rest = best_fit(left, capacity)
+        total = sequences(out) + sequences(rest)
+        if total <= best[0]:
+            best = (total, len(out), rest)
+    return out[: best[1]] + best[2]
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

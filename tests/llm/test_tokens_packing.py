@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from brindle.llm import packing, tokens
 
@@ -43,3 +44,21 @@ def test_packing_is_a_round_trip(spark):
             assert offset == at
             at += length
         assert at <= 64
+
+
+@pytest.mark.parametrize("kind", ["uniform", "two fifths", "third", "short", "long", "mixed", "few"])
+def test_never_more_sequences_than_best_fit(kind):
+    draw = np.random.default_rng(4)
+    n = 100_000
+    lengths = {
+        "uniform": lambda: draw.integers(1, 4097, n), "two fifths": lambda: draw.normal(1638, 60, n), "third": lambda: draw.normal(1380, 40, n), "short": lambda: draw.geometric(0.01, n),
+        "long": lambda: draw.normal(3000, 500, n), "mixed": lambda: np.r_[draw.geometric(0.002, n), draw.integers(2000, 4097, n // 3)], "few": lambda: draw.choice([1500, 1400, 1300, 900], n),
+    }[kind]()
+    counts = np.bincount(np.clip(lengths, 1, 4096).astype(int), minlength=4097)
+    planned = packing.plan(counts)
+    used = np.zeros(4097, int)
+    for pattern, times in planned:
+        assert sum(pattern) <= 4096
+        np.add.at(used, list(pattern), times)
+    assert (used == counts).all()
+    assert sum(t for _, t in planned) <= sum(t for _, t in packing.best_fit(counts.copy(), 4096))
