@@ -102,6 +102,59 @@ def keyset_page(df: DataFrame, key: str, after: int, size: int, most: int = 100)
     return rows.orderBy(F.desc(key)).limit(min(max(1, size), most))
 
 
+def _ahead(spec: str, value) -> Column:
+    """Whether a row comes before a value by one sort column, NULL being the largest (``ordered``)."""
+    c = F.col(spec.split()[0])
+    if spec.endswith(" desc"):
+        return F.lit(False) if value is None else c.isNull() | F.coalesce(c > F.lit(value), F.lit(False))
+    return c.isNotNull() if value is None else F.coalesce(c < F.lit(value), F.lit(False))
+
+
+def _before(specs: list[str], row) -> Column:
+    """Whether a row comes before ``row`` by all sort columns."""
+    out = F.lit(False)
+    for spec in reversed(specs):
+        name = spec.split()[0]
+        out = _ahead(spec, row[name]) | (F.col(name).eqNullSafe(F.lit(row[name])) & out)
+    return out
+
+
+def deep_page(df: DataFrame, specs: list[str], offset: int, size: int, ranges: int = 32, rows_a_range: int = 1_000_000) -> DataFrame:
+    """The rows from ``offset`` on in the order of ``specs`` (as in ``ordered``; together they tell rows apart), at any depth.
+
+    A bounded sample gives the edges of ``ranges`` ranges; their rows are counted in one pass, and the ranges that hold the page are
+    cut again in the same way until they have about ``rows_a_range`` rows. Only these are sorted, where offset and limit of all
+    rows would send ``offset + size`` of them to one task."""
+    names = [s.split()[0] for s in specs]
+    inside, skip = df, offset
+    count = df.count()
+    while count > rows_a_range + size:
+        share = min(1.0, 40.0 * ranges / count)
+        sample = inside.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().orderBy(*ordered(*specs)).limit(100 * ranges).collect()
+        edges = sample[len(sample) // ranges :: max(1, len(sample) // ranges)]
+        part = sum((~_before(specs, e)).cast("int") for e in edges) if edges else F.lit(0)
+        sizes = dict(inside.groupBy(part.alias("part")).count().collect())  # a row a range
+        first = last = None
+        upto = 0
+        for i in sorted(sizes):
+            if first is None and upto + sizes[i] > skip:
+                first, before = i, upto
+            upto += sizes[i]
+            if first is not None and upto >= skip + size:
+                last = i
+                break
+        if first is None:
+            return df.limit(0)
+        last = max(sizes) if last is None else last
+        now = sum(sizes[i] for i in sizes if first <= i <= last)
+        if now > 0.9 * count:
+            break  # equal rows, or a page of nearly everything
+        low = ~_before(specs, edges[first - 1]) if first else F.lit(True)
+        inside = inside.where(low & (_before(specs, edges[last]) if last < len(edges) else F.lit(True)))
+        skip, count = skip - before, now
+    return inside.orderBy(*ordered(*specs)).offset(skip).limit(size)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the last by ``order``: an aggregate that is combined in each task first, so no key's rows meet."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import networks as nw
+
 #: fixed values: rank of each role
 ROLES = {"owner": 40, "admin": 30, "editor": 20, "viewer": 10}
 
@@ -64,22 +64,22 @@ def ip_like(host: Column) -> Column:
 
 
 def url_decision(url: Column, *, allowed: list[str], restricted: set[str], suffixes: tuple[str, ...], longest: int = 2048) -> Column:
-    """Whether a URL may be fetched, before its name is resolved. ``allowed`` holds hosts, ``*.suffix`` and networks
-    (a range of numbers each); invalid networks are skipped."""
+    """Whether a URL may be fetched, before its name is resolved. ``allowed`` holds hosts, ``*.suffix`` and networks of both IP
+    versions; invalid networks are skipped. A list of networks that is a table goes through ``networks.longest_prefix``."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))  # odd hosts too
-    number = ip_number(host)
+    host = F.regexp_replace(host, r"^\[(.*)\]$", "$1")
+    ip = nw.address(host)
     listed = F.lit(False)
+    nets = []
     for entry in filter(None, (e.strip().lower() for e in allowed)):
         if entry.startswith("*."):
             listed = listed | host.endswith(entry[1:]) | (host == entry[2:])
         elif "/" in entry:
-            try:
-                net = ipaddress.IPv4Network(entry, strict=False)
-            except ValueError:
-                continue
-            listed = listed | F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+            nets.append(nw.network(F.lit(entry)))
         else:
             listed = listed | (host == entry)
+    if nets:
+        listed = listed | F.coalesce(F.exists(F.array(*nets), lambda net: nw.masked(ip, net["prefix"]) == net["net"]), F.lit(False))
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     ends = F.lit(False)
     for s in suffixes:
@@ -87,5 +87,5 @@ def url_decision(url: Column, *, allowed: list[str], restricted: set[str], suffi
     return (
         F.when(F.coalesce(url, F.lit("")) == "", "empty").when(F.length(url) > longest, "too_long").when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "scheme")
         .when(F.coalesce(host, F.lit("")) == "", "no_host").when(listed, "allowed").when(host.isin(*restricted), "restricted").when(ends, "restricted_suffix")
-        .when(number.isNotNull(), "address").when(ip_like(host), "disguised_address").otherwise("to_resolve")
+        .when(ip.isNotNull(), "address").when(ip_like(host), "disguised_address").otherwise("to_resolve")
     )

@@ -187,13 +187,24 @@ def key_expired(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", expired.alias("expired"))
 
 
+def deep_page(spark, sf_dir):
+    """The page of twenty lines in the middle of all of them, dearest first; only ranges of 5,000 rows that hold it are sorted."""
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return lk.deep_page(lines, ["l_extendedprice desc", "l_orderkey", "l_linenumber"], lines.count() // 2, 20, rows_a_range=5_000)
+
+
 QUERIES = {f.__name__: f for f in (
     pk_lookup, first_match, required_row, ordered_scan, ids_in, newest_first, nulls_first, oldest_first, category_order, codepoint_order,
     registration_order, oldest_alias, page_if_asked, invitation_page, sync_log_page, first_items, page_with_total, other_owner_count,
-    optional_relation_count, default_pointer, membership_join_order, empty_scope, provider_support, id_or_keyword, live_task, ttl_live, key_expired,
+    optional_relation_count, default_pointer, membership_join_order, empty_scope, provider_support, id_or_keyword, live_task, ttl_live, key_expired, deep_page,
 )}
 _MEMBERS = "(select *, case when o_orderstatus = 'P' then o_orderdate end as deleted_at from orders)"
 SQL = {
+    "deep_page": """
+select l_extendedprice, l_orderkey, l_linenumber from (
+  select l_extendedprice, l_orderkey, l_linenumber, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber) as r, count(*) over () // 2 as h from lineitem)
+where r > h and r <= h + 20
+""",
     "pk_lookup": "select o_orderkey, o_custkey, o_orderdate from orders where o_orderkey = 7 and o_orderstatus <> 'P'",
     "first_match": "select o_orderkey, o_custkey from orders where o_orderkey = (select min(o_orderkey) from orders where o_orderpriority = '2-HIGH' and o_orderstatus <> 'P')",
     "required_row": "select c_custkey, c_name from customer where c_mktsegment = 'FURNITURE' order by c_custkey limit 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import records as rc
+from brindle.operators import networks as nw
 from brindle.operators import policy as po
 from brindle.plans.lookups import memberships
 from brindle.sources.tables import table
@@ -46,13 +47,24 @@ def kb_access(spark, sf_dir):
 
 def ssrf_hosts(spark, sf_dir):
     """The pages' addresses with made-up ones beside them, judged before names are resolved."""
-    made = "'http://10.1.2.3/a', 'http://10.2.0.1/', 'https://2130706433/', 'http://0x7f.0.0.1/', 'http://0177.0.0.1/', 'ftp://a.b/', '', 'http://localhost:80/', 'http://x.internal/', 'http://www.example.com', 'http://example.com/', 'https://good.net/x', 'http://1.2.3/', 'http://999.1.1.1/'"
+    made = "'http://10.1.2.3/a', 'http://10.2.0.1/', 'https://2130706433/', 'http://0x7f.0.0.1/', 'http://0177.0.0.1/', 'ftp://a.b/', '', 'http://localhost:80/', 'http://x.internal/', 'http://www.example.com', 'http://example.com/', 'https://good.net/x', 'http://1.2.3/', 'http://999.1.1.1/', 'http://[::1]/', 'http://[::ffff:10.1.0.1]:80/x', 'https://[2001:db8:7::5]/', 'https://[2001:DB8:8::5]/', 'http://[fe80::1%25eth0]/', 'http://[1::2::3]/', 'http://u:p@[2001:db8:7:ffff::]/'"
     extra = spark.sql(f"select posexplode(array({made})) as (page_id, url)").select((-F.col("page_id") - 1).cast("bigint").alias("page_id"), "url")
     pages = table(spark, sf_dir, "pages").select("page_id", "url").unionByName(extra)
-    decision = po.url_decision(F.col("url"), allowed=["*.example.com", "10.1.0.0/16", "bad/cidr", " "], restricted={"localhost"}, suffixes=(".internal", ".local"))
+    decision = po.url_decision(F.col("url"), allowed=["*.example.com", "10.1.0.0/16", "2001:db8:7::/48", "bad/cidr", " "], restricted={"localhost"}, suffixes=(".internal", ".local"))
     return pages.select("page_id", decision.alias("decision"))
 
 
+def address_networks(spark, sf_dir):
+    """Customers' addresses of both versions, each with the longest of the nations' networks that holds it."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    four, six = F.format_string("10.%d.%d.%d", k % 4, k % 16, k % 256), F.concat(F.lit("2001:db8:"), F.lower(F.hex(k % 32)), F.lit("::"), F.lower(F.hex(k)))
+    addresses = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, four).when(k % 5 == 0, F.concat(F.lit("::ffff:"), four)).otherwise(six).alias("address"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    texts = F.array(F.format_string("10.%d.%d.7/24", n % 4, n % 8), F.format_string("10.%d.0.0/16", n % 3), F.concat(F.lit("2001:DB8:"), F.hex(n), F.lit("::/48")), F.lit("2001:db8::/36"))
+    nets = nations.select("n_nationkey", F.explode(texts).alias("net"))
+    return nw.longest_prefix(addresses, "address", nets, "net", ["n_nationkey"]).select("c_custkey", "n_nationkey", "prefix")
+
+
 def _stores(spark, sf_dir):
     """Customers as stores: market segments are engines, JSON configs follow from the key."""
     key = F.col("c_custkey")
@@ -120,7 +132,7 @@ def role_gate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    route_policy, ownership_or_role, kb_access, ssrf_hosts, store_keys, duplicate_stores, provider_status, log_recheck, backend_resolution, role_gate,
+    route_policy, ownership_or_role, kb_access, ssrf_hosts, address_networks, store_keys, duplicate_stores, provider_status, log_recheck, backend_resolution, role_gate,
 )}
 _STORES = """
 with s as (
@@ -149,7 +161,16 @@ select doc_id, case min(r) when 0 then 'own' when 1 then 'organisation' else 'ag
     "ssrf_hosts": """
 select page_id, case when split_part(split_part(url, '://', 2), '/', 1) like '%.example.com' or split_part(split_part(url, '://', 2), '/', 1) = 'example.com' then 'allowed' else 'to_resolve' end as decision from pages
 union all select * from (values (-1, 'allowed'), (-2, 'address'), (-3, 'disguised_address'), (-4, 'disguised_address'), (-5, 'disguised_address'), (-6, 'scheme'), (-7, 'empty'),
-  (-8, 'restricted'), (-9, 'restricted_suffix'), (-10, 'allowed'), (-11, 'allowed'), (-12, 'to_resolve'), (-13, 'to_resolve'), (-14, 'to_resolve'))
+  (-8, 'restricted'), (-9, 'restricted_suffix'), (-10, 'allowed'), (-11, 'allowed'), (-12, 'to_resolve'), (-13, 'to_resolve'), (-14, 'to_resolve'),
+  (-15, 'address'), (-16, 'address'), (-17, 'allowed'), (-18, 'address'), (-19, 'address'), (-20, 'to_resolve'), (-21, 'allowed'))
+""",
+    "address_networks": """
+with f as (select n_nationkey as n, n_nationkey % 4 as a, n_nationkey % 8 as b from nation),
+m as (select c_custkey, c_custkey as k, case when c_custkey % 2 = 0 then 4 when c_custkey % 5 = 0 then 0 else 6 end as v from customer),
+r as (select m.*, (select min(n) from f where v = 4 and a = k % 4 and b = k % 16) as n24, (select min(n) from f where v = 4 and n % 3 = k % 4) as n16,
+        (select min(n) from f where v = 6 and n = k % 32) as n48 from m)
+select c_custkey, case when v = 4 then coalesce(n24, n16) when v = 6 then coalesce(n48, 0) end::bigint as n_nationkey,
+  case when n24 is not null then 24 when n16 is not null then 16 when n48 is not null then 48 when v = 6 then 36 end::int as prefix from r
 """,
     "store_keys": _STORES + "select c_custkey, tenant, engine, endpoint, index_name from s",
     "duplicate_stores": _STORES + "select c_custkey, endpoint, index_name from s qualify count(*) over (partition by tenant, engine, endpoint, index_name) > 1",
