@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,15 +102,33 @@ def _sketch_batches(size: int):
                     n.append(len(values))
                     ids.append(set_id(values) if len(values) else None)
                     marks.append(signature(values) if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary())], names=["id", "n", "sid", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary())], names=["id", "th", "n", "sid", "bits"])
 
     return run
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, sid, bits) of every row."""
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, th): a row is found again by its id and a hash of its text, since ids may be null or stand in many rows."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(df, text_col).alias("text"))
-    return rows.mapInArrow(_sketch_batches(size), "id long, n long, sid long, bits binary")
+    return rows.withColumn("th", F.xxhash64("text"))
+
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(id, th, n, sid, bits) of every row."""
+    return texts.mapInArrow(_sketch_batches(size), "id long, th long, n long, sid long, bits binary")
+
+
+def _same_row(texts: DataFrame, at: DataFrame) -> Column:
+    return texts["id"].eqNullSafe(at["home"]) & (texts["th"] == at["home_th"])
+
+
+def _once(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``texts`` with rows that agree in id and text once; only those move, counted in each task first."""
+    twice = written(rows.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("home"), F.col("th").alias("home_th")), "repeated-rows")
+    if not twice.limit(1).count():
+        return texts
+    at = small(twice)
+    return texts.join(at, _same_row(texts, at), "left_anti").unionByName(texts.join(at, _same_row(texts, at), "left_semi").dropDuplicates(["id", "th", "text"]))
 
 
 # --- prefixes and tiles ---------------------------------------------------------------------------------------------------
@@ -343,13 +361,13 @@ def _exact_batches(percent: int):
 
 
 def exact_links(pairs: DataFrame, texts: DataFrame, homes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. ``texts`` (id, text), ``homes`` (sid, id: a row that holds the set)."""
+    """The pairs (a, b) that link. ``texts`` (id, text, th), ``homes`` (sid, home, home_th: a row that holds the set)."""
     wanted = pairs.select(F.col("a").alias("sid"), F.col("b").alias("key"))
     asked = pairs.select(F.col("b").alias("sid"), F.col("b").alias("key")).distinct()
 
     def arrays(of: DataFrame) -> DataFrame:
-        at = written(of.join(homes, "sid").withColumnRenamed("id", "home"), "homes")
-        rows = texts.join(small(at), texts["id"].eqNullSafe(at["home"])).select("text", "key", "sid")
+        at = small(written(of.join(homes, "sid"), "homes"))
+        rows = texts.join(at, _same_row(texts, at)).select("text", "key", "sid")
         return rows.mapInArrow(_array_batches(size), "key long, sid long, values binary")
 
     left, right = arrays(wanted), arrays(asked)
@@ -510,15 +528,18 @@ def _dense(tagged: DataFrame, opened: DataFrame, texts: DataFrame, homes: DataFr
     if not large.limit(1).count():
         return None
     sids = tagged.join(large, "hash", "left_semi").select("sid").distinct()
-    at = written(sids.join(homes, "sid").select(F.col("id").alias("home")).distinct(), "dense-homes")
-    return large, texts.join(small(at), texts["id"].eqNullSafe(at["home"]), "left_semi")
+    at = small(written(sids.join(homes, "sid").select("home", "home_th").distinct(), "dense-homes"))
+    return large, texts.join(at, _same_row(texts, at), "left_semi")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, hot: int = BLOCK, dense: int = DENSE) -> DataFrame:
     """(id, n_shingles, set_id, component_id) of every row of ``df``."""
-    rows = written(sketches(df, id_col, text_col, size), "sketches")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(df, text_col).alias("text"))
-    classes = written(rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    texts = _texts(df, id_col, text_col)
+    rows = written(sketches(texts, size), "sketches")
+    texts = _once(texts, rows)
+    home = F.min(F.struct("id", "th")).alias("home")
+    classes = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), home, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = written(classes.select("sid", "id", F.col("home.id").alias("home"), F.col("home.th").alias("home_th"), "n", "bits"), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     members = _tiles(texts, size, percent, total, False, "tiles")
 
@@ -528,7 +549,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     bounded = starts.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_bound_batches(percent), "a long, b long, slack long")
     best = bounded.groupBy("a").agg(F.max(F.struct("slack", "b")).alias("one"), F.min(F.struct("slack", "b")).alias("two"))
     chosen = written(best.select("a", F.explode(F.array_distinct(F.array("one.b", "two.b"))).alias("b")), "first-pairs")
-    homes = classes.select("sid", "id")
+    homes = classes.select("sid", "home", "home_th")
     links = written(exact_links(chosen, texts, homes, size, percent), "first-links")
     roots = written(components(links, rounds=4), "first-roots")
 
@@ -551,7 +572,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     between = links.unionByName(more).join(root_of["u"], "u", "left").join(root_of["v"], "v", "left")
     top = components(between.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u != v").distinct())
 
-    first = homes.join(roots.select(F.col("node").alias("sid"), F.col("root").alias("low")), "sid", "left").withColumn("low", F.coalesce("low", "sid"))
+    first = classes.select("sid", "id").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("low")), "sid", "left").withColumn("low", F.coalesce("low", "sid"))
     placed = first.join(top.select(F.col("node").alias("low"), "root"), "low", "left").select("sid", "id", F.coalesce("root", "low").alias("root"))
     placed = written(placed, "placed")
     of_sets = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("sid", "component_id")

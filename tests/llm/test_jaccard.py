@@ -1,5 +1,6 @@
 """The join against all pairs, with families of near copies that cross tiles, blocks and components."""
 
+import time
 import random
 import re
 
@@ -86,3 +87,26 @@ def test_one_of_each_repeated_rows_and_null_ids(spark):
     out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, "null id"), (1, text + " end"), (3, "other words here"), (4, "")]
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_null_ids_cost_what_other_ids_do(spark):
+    """A thousand pairs of near copies without ids, and one row without an id many times."""
+    rows = []
+    for i in range(1000):
+        words = [f"w{i}x{k}" for k in range(40)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words, "more"]))]
+    rows += [(None, "one row that stands here many times over")] * 3000 + [(7, "one row that stands here many times over")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    out = jaccard.near_duplicates(df).collect()
+    assert time.time() - began < 150
+    assert len(out) == len(rows)
+    of_many = {r["component_id"] for r in out if r["n_shingles"] == 4}
+    assert of_many == {7}
+
+
+def test_links_among_rows_without_ids_and_with_shared_ids(spark):
+    base = [f"w{k}" for k in range(30)]
+    rows = [(None, " ".join(base)), (9, " ".join([*base, "x"])), (4, " ".join([*base, "x", "y"])), (4, "something else that has no copy at all"), (5, "something else that has no copy at all anywhere"), (4, " ".join(base))]
+    got = {(r["id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 26, 4), (9, 27, 4), (4, 28, 4), (4, 4, 4), (5, 5, 4), (4, 26, 4)}
