@@ -40,8 +40,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE_SPACE + r"\p{L
 _SPLIT = regex.compile(SPLIT)
 _PIECES = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _LEADING = re.compile(f"[{WHITE_SPACE}]*")
-#: Tables kept by a Python worker; the map starts anew beyond it.
-KEPT_PIECES = 600_000
+#: Bytes of pieces' tables, of units' counts and of pairs of tokens that a Python worker keeps, about; each map starts anew
+#: beyond its share. What an entry takes beside its own values: two objects' heads and a place in a map.
+TABLE_BYTES, UNIT_BYTES, PAIR_BYTES = 96 << 20, 32 << 20, 32 << 20
+ENTRY_BYTES = 220
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,8 +76,9 @@ class PrefixCounter:
             self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
         self.beside: dict[int, bool] = {}
         self.units: dict[str, list[int]] = {}
-        self.alone: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}  # no more than the vocabulary has
         self.tables: dict[str, bytes] = {}
+        self.unit_bytes = self.table_bytes = 0
 
     def merged(self, data: bytes) -> list[int]:
         """Plain byte-pair merging, lowest rank first; used on the bytes of one or two tokens only."""
@@ -90,6 +93,8 @@ class PrefixCounter:
 
     def may_stand(self, left: int, right: int) -> bool:
         """Whether encoding the joined bytes of two tokens gives these two (asked once for each pair)."""
+        if len(self.beside) * ENTRY_BYTES > PAIR_BYTES:
+            self.beside.clear()
         known = self.beside[left << 20 | right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
 
@@ -130,9 +135,11 @@ class PrefixCounter:
             if unit in ("'re", "'ve", "'ll"):  # cut inside, it is a quote and a letter
                 counts[2] = counts[1] + self.prefix_counts(data[1:2])[1]
             if len(unit) <= 64:
-                if len(self.units) >= KEPT_PIECES:
+                if self.unit_bytes > UNIT_BYTES:
                     self.units.clear()
+                    self.unit_bytes = 0
                 self.units[unit] = counts
+                self.unit_bytes += ENTRY_BYTES + 9 * len(counts)
         return counts
 
     def build(self, piece: str) -> bytes:
@@ -163,11 +170,13 @@ class PrefixCounter:
     def table_of(self, piece: str) -> bytes:
         found = self.tables.get(piece)
         if found is None:
-            if len(self.tables) >= KEPT_PIECES:
+            if self.table_bytes > TABLE_BYTES:
                 self.tables.clear()
+                self.table_bytes = 0
             found = self.build(piece)
             if len(piece) <= 64:
                 self.tables[piece] = found
+                self.table_bytes += ENTRY_BYTES + 2 * len(found)
         return found
 
     def plain(self, text: str) -> bytes:
