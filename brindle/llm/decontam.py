@@ -9,16 +9,19 @@ when its tiles cover at least ``coverage`` of the item's tokens.
 
 A benchmark of at most ``SMALL_SEEDS`` seeds (counted) goes to the tasks whole and documents need no shuffle; a larger
 one is joined by seed in Spark, each seed's documents against its items, and only pairs that share a seed move. Both ways
-give the same rows; a seed that many documents share is split by adaptive skew handling of that join.
+give the same rows. In a join a tile of n tokens holds n / ``min_match`` of an item's windows at least, so pairs whose shared
+windows can't cover enough of the item are dropped before any text moves; a seed that many documents share is split by adaptive
+skew handling.
 
 Defined results: null and empty texts have no tokens and match nothing; an item of fewer than ``min_match`` tokens
-can't be told from a common phrase and is never matched. Repeated benchmark rows are items of their own. Repeated documents give repeated rows; no rows give
+can't be told from a common phrase within a sentence, so it is found where it makes up a whole line or the whole text. Repeated benchmark rows are items of their own. Repeated documents give repeated rows; no rows give
 none; input columns that clash with results come back as ``<name>_in``. Memory follows a slice of an Arrow batch and the
 longest text.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -26,7 +29,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,7 +159,7 @@ def _tile_batches(text_at: int, bench: Benchmark, min_match: int, coverage: floa
 def _seed_batches(min_match: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, seed): the distinct seeds of each text."""
+        """(key, seed, times, tokens): the distinct seeds of each text, how often they stand there, and the text's tokens."""
         for batch in batches:
             column = tb.as_strings(batch.column(1))
             for a, b in tb.slices(column):
@@ -164,9 +167,12 @@ def _seed_batches(min_match: int):
                 found = windows(hashes, min_match)
                 row = np.searchsorted(first, np.arange(len(found)), side="right") - 1
                 inside = np.arange(len(found)) + min_match <= first[row + 1]
-                lists = tb.distinct_by_row(found[inside], row[inside], b - a)
-                key = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), [len(x) for x in lists])))
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(lists).view(np.int64) if lists else [], pa.int64())], names=["key", "seed"])
+                order = np.lexsort((found[inside], row[inside]))
+                seed, of_row = found[inside][order], row[inside][order]
+                head = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (of_row[1:] != of_row[:-1])]) if len(seed) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[head, len(seed)])
+                key = batch.column(0).slice(a, b - a).take(pa.array(of_row[head]))
+                yield pa.RecordBatch.from_arrays([key, pa.array(seed[head].view(np.int64)), pa.array(times), pa.array(np.diff(first)[of_row[head]])], names=["key", "seed", "times", "tokens"])
 
     return run
 
@@ -189,6 +195,24 @@ def _pair_batches(min_match: int):
     return run
 
 
+def _plain(text: Column) -> Column:
+    """A text's tokens with a blank between them."""
+    folded = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, _UNSPACED.replace(r"\p{", r"\p{Is"), " $1 "), r"[\p{P}\p{S}\p{Z}\p{Cc}]+", " "))
+
+
+def _whole_lines(df: DataFrame, items: DataFrame, text_col: str, min_match: int) -> DataFrame | None:
+    """Results for items of fewer than ``min_match`` tokens, which are lines of a document or all of it; None without such items."""
+    size = lambda c: F.size(F.split(c, " "))
+    short = items.select("item_id", _plain(F.col("item_text")).alias("_line")).where((F.col("_line") != "") & (size("_line") < min_match))
+    if not short.limit(1).count():
+        return None
+    each = F.array_distinct(F.concat(F.transform(F.split(text_col, "\n"), _plain), F.array(_plain(F.col(text_col)))))
+    cut = df.withColumn("_line", F.explode(F.filter(each, lambda x: (x != "") & (size(x) < min_match)))).drop(text_col)
+    hits = cut.join(small(short), "_line")
+    return hits.select(*[c for c in df.columns if c != text_col], "item_id", F.lit(1.0).alias("coverage"), size("_line").cast("long").alias("covered_tokens"), F.lit(1).cast("long").alias("tiles"))
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, small_seeds: int = SMALL_SEEDS) -> DataFrame:
     """(other columns of ``df``, item_id, coverage, covered_tokens, tiles): one row per document and item that it holds."""
     df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c in RESULTS.fieldNames() and c != text_col})
@@ -196,6 +220,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(benchmark, item_text).alias("item_text"))
     kept = [f for f in df.schema.fields if f.name != text_col]
     schema = T.StructType(kept + RESULTS.fields)
+    lines = _whole_lines(df, items, text_col, min_match)
     n_seeds = items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // 2  # at most one token in two characters
     if n_seeds <= small_seeds:
         rows = items.toArrow()
@@ -206,15 +231,18 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         order = np.argsort(every, kind="stable")
         bench = Benchmark(rows["item_id"].to_pylist(), tokened, every[order], owner[order])
-        return df.mapInArrow(_tile_batches(df.columns.index(text_col), bench, min_match, coverage), schema)
+        found = df.mapInArrow(_tile_batches(df.columns.index(text_col), bench, min_match, coverage), schema)
+        return found if lines is None else found.unionByName(lines)
     keyed = written(df.withColumn("key", F.monotonically_increasing_id()), "decontam-docs")
     numbered = written(items.withColumn("key", F.monotonically_increasing_id()), "decontam-items")
-    of_docs = keyed.select("key", text_col).mapInArrow(_seed_batches(min_match), "key long, seed long")
-    of_items = numbered.select("key", "item_text").mapInArrow(_seed_batches(min_match), "key long, seed long")
-    pairs = of_docs.join(of_items.withColumnRenamed("key", "item"), "seed").select("key", "item").distinct()
+    seeds = lambda rows, c: rows.select("key", c).mapInArrow(_seed_batches(min_match), "key long, seed long, times long, tokens long")
+    shared = seeds(keyed, text_col).select("key", "seed").join(seeds(numbered, "item_text").withColumnRenamed("key", "item"), "seed")
+    reach = shared.groupBy("key", "item").agg(F.sum("times").alias("times"), F.first("tokens").alias("tokens"))
+    pairs = reach.where(F.col("times") * min_match >= coverage * F.col("tokens")).select("key", "item")
     full = pairs.join(keyed.select("key", text_col), "key").join(numbered.select(F.col("key").alias("item"), "item_id", "item_text"), "item")
     tiled = full.select("key", "item_id", text_col, "item_text").mapInArrow(_pair_batches(min_match), T.StructType([T.StructField("key", T.LongType()), *RESULTS.fields]))
-    return keyed.drop(text_col).join(tiled.where(F.col("coverage") >= coverage), "key").select(*[f.name for f in kept], *RESULTS.fieldNames())
+    found = keyed.drop(text_col).join(tiled.where(F.col("coverage") >= coverage), "key").select(*[f.name for f in kept], *RESULTS.fieldNames())
+    return found if lines is None else found.unionByName(lines)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
