@@ -1,6 +1,6 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-Comment signs at the beginnings of lines and list numbers are taken off, then a text is cut into sentences twice: at sentence
+Comment signs at the beginnings of lines, list numbers and tags are taken off, then a text is cut into sentences twice: at sentence
 ends, blank lines and colons that end a line, with other line breaks read as blanks (wrapped licence texts), and at every
 line break as well (one-line notices between other lines). Normalised sentences map to identifiers of known licence
 sentences; an ordered rule is a list of identifiers that must follow each other in this order, other known sentences
@@ -47,6 +47,14 @@ FAMILIES = {
     "Zlib": ("permissive", ["zlib License"]),
     "BSL-1.0": ("permissive", ["Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"]),
     "Unlicense": ("permissive", ["Unlicense"]),
+    "BSD-style": ("permissive", ["BSD-style license", "BSD style license"]),
+    "OFL-1.1": ("permissive", ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "SIL Open Font License Version 1.1 - 26 February 2007"]),
+    "Artistic-2.0": ("permissive", ["Artistic License 2.0", "Artistic License, version 2.0"]),
+    "CDDL-1.0": ("copyleft", ["Common Development and Distribution License (CDDL) Version 1.0", "Common Development and Distribution License, Version 1.0", "CDDL-1.0 License"]),
+    "MPL-1.1": ("copyleft", ["Mozilla Public License Version 1.1", "Mozilla Public License, version 1.1", "Mozilla Public License 1.1 (MPL 1.1)"]),
+    "EPL-1.0": ("copyleft", ["Eclipse Public License - v 1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0"]),
+    "CC-BY-3.0": ("permissive", ["CC BY 3.0", "Creative Commons Attribution 3.0 Unported License", "Creative Commons Attribution 3.0 License"]),
+    "CC-BY-SA-3.0": ("copyleft", ["CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License", "Creative Commons Attribution-ShareAlike 3.0 License"]),
     "all-rights-reserved": ("restricted", []),
 }
 # fixed values: notices; a name is put into each
@@ -59,7 +67,7 @@ SENTENCES = {
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-keep": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "as-is-upper": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
-    "apache-comply": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "apache-comply": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"],
     "apache-unless": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
@@ -86,6 +94,14 @@ SENTENCES = {
     "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "bsd-style": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file in the root directory of this source tree.", "Use of this source code is governed by a BSD style license that can be found in the LICENSE file."],
+    "mit-style": ["Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT.", "Use of this source code is governed by a MIT style license that can be found in the LICENSE file."],
+    "ofl-notice": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "artistic-grant": ["This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)."],
+    "cddl-notice": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")."],
+    "cddl-comply": ["You may not use this file except in compliance with the License."],
+    "mpl11-notice": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."],
+    "epl10-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
     "reserved": ["All rights reserved."],
 }
 # fixed values: ordered rules (licence, identifiers in their order), most specific first
@@ -111,6 +127,15 @@ RULES = [
     ("Zlib", ["zlib-grant"]),
     ("BSL-1.0", ["boost-grant"]),
     ("Unlicense", ["unlicense"]),
+    ("BSD-style", ["bsd-style"]),
+    ("MIT", ["mit-style"]),
+    ("OFL-1.1", ["ofl-notice"]),
+    ("Artistic-2.0", ["artistic-grant"]),
+    ("CDDL-1.0", ["cddl-notice", "cddl-comply"]),
+    ("CDDL-1.0", ["cddl-notice"]),
+    ("MPL-1.1", ["mpl11-notice"]),
+    ("EPL-1.0", ["epl10-notice"]),
+    *[(name, [f"{name.lower()}-notice", "gpl-verbatim"]) for name in ("AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "GPL-3.0", "GPL-2.0")],
     ("all-rights-reserved", ["reserved"]),
 ]
 RULES += [(name, [f"{name.lower()}-notice"]) for name, (_, names) in FAMILIES.items() if names]
@@ -139,6 +164,10 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 # signs that begin comment lines, and numbers of list items; for Java and for RE2
 COMMENT = r"^[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--|>+|dnl\b|REM\b)[ \t]?"
+# a tag of HTML, and a clause with anybody's name in it, normalised, and the known sentence it stands for
+TAG = r"</?[a-zA-Z][^<>]*>"
+ENDORSE = r"^neither the names? of .+ nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission$"
+ENDORSE_AS = _normal(SENTENCES["bsd-endorse"][0])
 ITEM = r"\n[ \t]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 
 
@@ -148,14 +177,15 @@ def _pattern(ids: list[str]) -> str:
 
 
 def plain_lines(text: Column) -> Column:
-    """Without comment signs at the beginnings of lines; list items stand behind a blank line, without their numbers."""
-    return F.regexp_replace(F.regexp_replace(text, "(?md)" + COMMENT, ""), ITEM, "\n\n")
+    """Without comment signs at the beginnings of lines and without tags; list items stand behind a blank line, without their
+    numbers."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?md)" + COMMENT, ""), TAG, ""), ITEM, "\n\n")
 
 
 def sentences(text: Column, at_lines: bool) -> Column:
     """Normalised sentences of a text, in order; empty ones stay out."""
-    ends = r"(?<=[.!?])[ \t\n\r\f]+(?=[^a-z0-9 \t\n\r\f])|" + (r"\n+" if at_lines else r"\n[ \t\n\r\f]*\n|(?<=:)[ \t\r]*\n")
-    return F.filter(F.transform(F.split(text, ends), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
+    ends = r"(?<=[.!?])[ \t\n\r\f]+(?=[^a-z0-9 \t\n\r\f])|(?<=[.!?])[ \t\r]*\n[ \t]*(?=[a-z])|" + (r"\n+" if at_lines else r"\n[ \t\n\r\f]*\n|(?<=:)[ \t\r]*\n")
+    return F.filter(F.transform(F.split(text, ends), lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), ENDORSE, ENDORSE_AS)), lambda s: s != "")
 
 
 def identifiers(pieces: Column) -> Column:
@@ -212,14 +242,14 @@ rules(license, pattern) as (values {_values([(n, _pattern(ids)) for n, ids in RU
 spdx(word, license) as (values {_values(list(SPDX.items()))}),
 families(pos, license, use) as (values {_values([(i, n, use) for i, (n, (use, _)) in enumerate(FAMILIES.items())])}),
 implied(over, under) as (values {_values([(a, b) for a, bs in IMPLIED.items() for b in bs])}),
-plain as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?m){COMMENT}', '', 'g'), '{ITEM}', chr(10) || chr(10), 'g') as t from documents),
-ended as (select doc_id, regexp_replace(t, '([.!?])[ \t\n\r\f]+([^a-z0-9 \t\n\r\f])', '\1' || chr(1) || '\2', 'g') as t from plain),
+plain as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m){COMMENT}', '', 'g'), '{TAG}', '', 'g'), '{ITEM}', chr(10) || chr(10), 'g') as t from documents),
+ended as (select doc_id, regexp_replace(regexp_replace(t, '([.!?])[ \t\r]*\n[ \t]*([a-z])', '\1' || chr(1) || '\2', 'g'), '([.!?])[ \t\n\r\f]+([^a-z0-9 \t\n\r\f])', '\1' || chr(1) || '\2', 'g') as t from plain),
 cut as (
   select doc_id, 0 as reading, string_split(regexp_replace(regexp_replace(t, '\n[ \t\n\r\f]*\n', chr(1), 'g'), ':[ \t\r]*\n', ':' || chr(1), 'g'), chr(1)) as ps from ended
   union all
   select doc_id, 1, string_split(regexp_replace(t, '\n+', chr(1), 'g'), chr(1)) from ended),
 pieces as (select doc_id, reading, unnest(ps) as s, generate_subscripts(ps, 1) as i from cut),
-hits as (select doc_id, reading, i, id from pieces join known on trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
+hits as (select doc_id, reading, i, id from pieces join known on regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{ENDORSE}', '{ENDORSE_AS}') = sentence),
 seq as (select doc_id, reading, string_agg(id, ' ' order by i) as ids, count(*) as n from hits group by 1, 2),
 named as (select doc_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(t, 'SPDX(?:-License-Identifier)?:([^\n]*)', 1), ' '), '[A-Za-z0-9+-]+(?:\.[A-Za-z0-9+-]+)*')) as w from plain),
 matched as (select doc_id, license from seq join rules on regexp_matches(' ' || ids || ' ', pattern) union select doc_id, license from named join spdx on word = lower(w)),

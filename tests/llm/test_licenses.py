@@ -88,3 +88,48 @@ def test_expressions_and_notices(spark):
     ]
     out = licenses.recognise(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["licenses"], r["license_use"]) for r in out} == {i: (names, use) for i, (_, names, use) in enumerate(cases)}
+
+
+REAL = [
+    ("""/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ */
+package org.example;""", ["Apache-2.0"], "permissive"),
+    ("""// Copyright 2009 The Authors. All rights reserved.
+// Use of this source code is governed by a BSD-style
+// license that can be found in the LICENSE file.
+package main""", ["BSD-style"], "permissive"),
+    (BSD + """3. Neither the name of Example Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+""", ["BSD-3-Clause"], "permissive"),
+    ("""<p>This work is licensed under a <a rel="license" href="http://creativecommons.org/licenses/by/3.0/">Creative Commons Attribution 3.0 Unported License</a>.</p>""", ["CC-BY-3.0"], "permissive"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below", ["OFL-1.1"], "permissive"),
+    ("""The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License.""", ["CDDL-1.0"], "copyleft"),
+    ("""The contents of this file are subject to the Mozilla Public License Version
+1.1 (the "License"); you may not use this file except in compliance with
+the License.""", ["MPL-1.1"], "copyleft"),
+    ("Licensed under the Eclipse Public License v1.0.", ["EPL-1.0"], "copyleft"),
+    ("""                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""", ["GPL-3.0"], "copyleft"),
+    ("Copyright Someone.\nAll rights reserved.", ["all-rights-reserved"], "restricted"),
+]
+
+
+def test_headers_of_real_files(spark):
+    out = licenses.recognise(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(REAL)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["licenses"], r["license_use"]) for r in out}
+    for i, (text, found, use) in enumerate(REAL):
+        assert got[i] == (found, use), text
