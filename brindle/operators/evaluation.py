@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,38 +16,41 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \n]+"), lambda w: w != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Every run of ``n`` tokens, joined; none if there are fewer."""
-    last = F.size(tokens) - (n - 1)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(last >= 1, each).otherwise(F.array().cast("array<string>"))
+def clipped_matches(sizes: list[int]):
+    """A function of two lists of words: the clipped matches of their n-grams of each size. Both lists are in the row, so they
+    are counted there and nothing moves."""
 
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        grams = lambda words, n: Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        none: list[str] = []
+        for a, b in batches:
+            yield pd.Series([[(grams(x, n) & grams(y, n)).total() for n in sizes] for x, y in ((none if x is None else list(x), none if y is None else list(y)) for x, y in zip(a, b, strict=True))])
 
-def overlaps(pairs: DataFrame, keys: list[str], text: str, reference: str, sizes: list[int]) -> DataFrame:
-    """(keys, size, hits, n_text, n_reference): clipped n-gram matches of each size. Both sides' grams come out of one pass,
-    and are counted per pair and gram in each task first."""
+    return F.pandas_udf(count, T.ArrayType(T.IntegerType()))
 
-    def tagged(c: str, n: int, side: int) -> Column:
-        return F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram"), F.lit(side).alias("side")))
 
-    cut = pairs.select(*keys, words(F.col(text)).alias("_t"), words(F.col(reference)).alias("_r"))  # once, not for every gram
-    each = cut.select(*keys, F.inline(F.concat(*[tagged(c, n, side) for n in sizes for c, side in (("_t", 1), ("_r", 0))])))
-    counted = each.groupBy(*keys, "size", "gram").agg(F.count_if(F.col("side") == 1).alias("_a"), F.count_if(F.col("side") == 0).alias("_b"))
-    return counted.groupBy(*keys, "size").agg(F.sum(F.least("_a", "_b")).alias("hits"), F.sum("_a").alias("n_text"), F.sum("_b").alias("n_reference"))
+def _counted(pairs: DataFrame, keys: list[str], text: str, reference: str, sizes: list[int]) -> DataFrame:
+    """(keys, _t, _r: words, _h: matches)."""
+    cut = pairs.select(*keys, words(F.col(text)).alias("_t"), words(F.col(reference)).alias("_r"))
+    return cut.withColumn("_h", clipped_matches(sizes)("_t", "_r"))
+
+
+def _grams(c: str, n: int) -> Column:
+    return F.greatest(F.size(c) - (n - 1), F.lit(0))
 
 
 def bleu(pairs: DataFrame, keys: list[str], text: str, reference: str, mosts: list[int]) -> DataFrame:
     """BLEU-n for each n of ``mosts``: geometric mean of the clipped precisions of 1- to n-grams times the brevity penalty; 0
-    where one of the precisions is."""
-    every = overlaps(pairs, keys, text, reference, list(range(1, max(mosts) + 1)))
-    first = F.col("size") == 1
-    aggregates = [F.max(F.when(first, F.col("n_text"))).alias("_c"), F.max(F.when(first, F.col("n_reference"))).alias("_r")]
+    where one of the precisions is. Pairs without a word on either side have no score and no row."""
+    every = _counted(pairs, keys, text, reference, list(range(1, max(mosts) + 1))).where((F.size("_t") > 0) | (F.size("_r") > 0))
+    brevity = F.when(F.size("_t") >= F.size("_r"), 1.0).otherwise(F.exp(1.0 - F.size("_r") / F.size("_t")))
+    hits = lambda n: F.get("_h", F.lit(n - 1))
+    scores = []
     for n in mosts:
-        held = (F.col("size") <= n) & (F.col("hits") > 0)
-        aggregates += [F.sum(F.when(held, F.log(F.col("hits") / F.col("n_text")))).alias(f"_logs{n}"), F.count_if(held).alias(f"_held{n}")]
-    brevity = F.when(F.col("_c") >= F.col("_r"), 1.0).otherwise(F.exp(1.0 - F.col("_r") / F.col("_c")))
-    scores = [F.when(F.col(f"_held{n}") == n, brevity * F.exp(F.col(f"_logs{n}") / n)).otherwise(0.0).alias(f"bleu{n}") for n in mosts]
-    return every.groupBy(*keys).agg(*aggregates).select(*keys, *scores)
+        logs = sum((F.log(hits(k) / _grams("_t", k)) for k in range(1, n + 1)), F.lit(0.0))
+        held = reduce(Column.__and__, [hits(k) > 0 for k in range(1, n + 1)])
+        scores.append(F.when(held, brevity * F.exp(logs / n)).otherwise(0.0).alias(f"bleu{n}"))
+    return every.select(*keys, *scores)
 
 
 def f_score(hits: Column, n_text: Column, n_reference: Column) -> Column:
@@ -54,10 +59,11 @@ def f_score(hits: Column, n_text: Column, n_reference: Column) -> Column:
 
 
 def rouge(pairs: DataFrame, keys: list[str], text: str, reference: str, sizes: list[int]) -> DataFrame:
-    """ROUGE-n for each size: the f-score of clipped n-gram matches."""
-    score = f_score(F.col("hits"), F.col("n_text"), F.col("n_reference"))
-    found = overlaps(pairs, keys, text, reference, sizes).groupBy(*keys)
-    return found.agg(*[F.coalesce(F.max(F.when(F.col("size") == n, score)), F.lit(0.0)).alias(f"rouge{n}") for n in sizes])
+    """ROUGE-n for each size, the f-score of clipped n-gram matches, and ROUGE-L, that of the longest common subsequence."""
+    every = _counted(pairs, keys, text, reference, sizes)
+    of_size = lambda i, n: f_score(F.get("_h", F.lit(i)), _grams("_t", n), _grams("_r", n)).alias(f"rouge{n}")
+    longest = f_score(common_subsequence("_t", "_r"), F.size("_t"), F.size("_r")).alias("rouge_l")
+    return every.select(*keys, *[of_size(i, n) for i, n in enumerate(sizes)], longest)
 
 
 @F.pandas_udf(T.IntegerType())

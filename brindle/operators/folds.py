@@ -12,24 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.sources.work import written
+
 BUCKET_SECONDS = 86_400.0
+#: Events of a key and bucket beyond which the bucket is cut into shorter ones.
+DENSE = 200_000
+#: Dense buckets that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def throttled(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+def throttled(df: DataFrame, keys: list[str], ts: str, order: str, seconds: float, inclusive: bool = False, bucket_seconds: float = BUCKET_SECONDS, dense: int = DENSE) -> DataFrame:
     """The events that a rate limit lets through: one is kept if the last *kept* one of its key is longer ago than
     ``seconds`` (with ``inclusive``: at least as long).
 
     A key's time is cut into buckets, which tasks judge alone: whatever was kept before a bucket, its first kept event is one
     of those in the bucket's first ``seconds`` or the next one, and from each of them the last kept one follows. These short
-    tables, a few rows a bucket, are chained key by key; then each bucket knows where it starts. A task holds a bucket's
-    events of one key (``bucket_seconds`` bounds them) and, when chaining, a row."""
+    tables, a few rows a bucket, are chained key by key; then each bucket knows where it starts. Buckets are sized by counts: one
+    with more than ``dense`` events is cut into parts of about as many, though not below 4 * ``seconds``, so a task holds
+    ``dense`` events, or what comes in 4 * ``seconds``, and, when chaining, a row."""
     width, span = int(seconds * 1_000_000), int(max(bucket_seconds, 4 * seconds) * 1_000_000)
-    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_bucket", F.floor(F.col("_us") / span))
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_span", F.floor(F.col("_us") / span))
+    counts = timed.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).where(F.col("_n") > dense)
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / dense)))
+    size = F.greatest(F.ceil(F.lit(float(span)) / parts).cast("bigint"), F.lit(4 * width), F.lit(1))
+    large = written(counts.select(*[F.col(k).alias(f"_{k}_d") for k in keys], F.col("_span").alias("_span_d"), size.alias("_size")), "dense-buckets")
+    known = large.limit(BROADCAST_ROWS + 1).count()
+    if known:
+        same = reduce(Column.__and__, [timed[k].eqNullSafe(large[f"_{k}_d"]) for k in keys], timed["_span"] == large["_span_d"])
+        timed = timed.join(F.broadcast(large) if known <= BROADCAST_ROWS else large, same, "left").drop(*[f"_{k}_d" for k in keys], "_span_d")
+    else:
+        timed = timed.withColumn("_size", F.lit(span).cast("bigint"))
+    start, size = F.col("_span") * span, F.coalesce(F.col("_size"), F.lit(span))
+    timed = timed.withColumn("_bucket", (start + F.floor((F.col("_us") - start) / size) * size).cast("bigint")).drop("_span", "_size")
     group = [*keys, "_bucket"]
     fields = [timed.schema[k] for k in keys]
     long = lambda name: T.StructField(name, T.LongType())
     exits = timed.select(*group, "_us").repartition(*group).sortWithinPartitions(*group, "_us")
-    exits = exits.mapInArrow(_exits(len(keys), width, span, inclusive), T.StructType([*fields, long("_bucket"), long("_entry"), long("_exit")]))
+    exits = exits.mapInArrow(_exits(len(keys), width, inclusive), T.StructType([*fields, long("_bucket"), long("_entry"), long("_exit")]))
     starts = exits.repartition(*keys).sortWithinPartitions(*group, "_entry").mapInArrow(_chain(len(keys), width, inclusive), T.StructType([*fields, long("_bucket"), long("_last")]))
     at = starts.select("_last", *[F.col(c).alias(f"_{c}_s") for c in group])
     same = reduce(Column.__and__, [timed[c].eqNullSafe(at[f"_{c}_s"]) for c in group])
@@ -51,19 +70,32 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], names: Callable[[pa.Table], list[str]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in pieces that hold whole groups, with the first row of each group."""
-    held: pa.Table | None = None
+    """Sorted rows in pieces that hold whole groups, with the first row of each group. Batches of one group are put together
+    once, when it ends; only rows at their edges are compared."""
+    held: list[pa.Table] = []
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        return np.flatnonzero(_changes([rows[c].combine_chunks() for c in names(rows)]))
+
+    def whole(tables: list[pa.Table]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        rows = pa.concat_tables(tables).combine_chunks()
+        if len(rows):
+            yield rows, starts(rows)
+
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-        first = np.flatnonzero(_changes([rows[c].combine_chunks() for c in names(rows)])) if len(rows) else np.zeros(0, np.int64)
-        if len(first) < 2:
-            held = rows
+        if not len(rows):
+            continue
+        first = starts(rows)
+        if held and len(starts(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), rows.slice(0, 1)]))) == 1:
+            first = first[1:]  # goes on
+        if not len(first):
+            held.append(rows)
             continue
-        yield rows.slice(0, first[-1]), first[:-1]
-        held = rows.slice(first[-1])
-    if held is not None and len(held):
-        yield held, np.flatnonzero(_changes([held[c].combine_chunks() for c in names(held)]))
+        yield from whole([*held, rows.slice(0, first[-1])])
+        held = [rows.slice(first[-1])]
+    if held:
+        yield from whole(held)
 
 
 def _next(us: np.ndarray, first: np.ndarray, width: int, inclusive: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +109,7 @@ def _next(us: np.ndarray, first: np.ndarray, width: int, inclusive: bool) -> tup
     return group, np.where(inside, to, len(us))
 
 
-def _exits(n_keys: int, width: int, span: int, inclusive: bool):
+def _exits(n_keys: int, width: int, inclusive: bool):
     """Events of buckets -> for each event that may be its bucket's first kept one: the last that is kept then. Neighbours with
     the same last one are one row, that of the later one."""
 
@@ -90,7 +122,7 @@ def _exits(n_keys: int, width: int, span: int, inclusive: bool):
             while (jump[:-1] < len(us)).any():  # twice as far each time
                 last = np.where(jump[:-1] < len(us), np.r_[last, 0][jump[:-1]], last)
                 jump = jump[jump]
-            early = us < bucket * span + width
+            early = us < bucket + width
             after = np.r_[True, group[1:] != group[:-1]] | np.r_[True, early[:-1]]  # the first one, or right behind an early one
             may = np.flatnonzero(early | after)
             same = np.r_[(group[may][1:] == group[may][:-1]) & (last[may][1:] == last[may][:-1]), False]

@@ -100,9 +100,7 @@ def bleu(spark, sf_dir):
 
 def rouge(spark, sf_dir):
     turns, keys = _turns(spark, sf_dir), ["conv_id", "turn"]
-    long = turns.select(*keys, F.round(ev.rouge_l(F.col("text"), F.col("ref")), 6).alias("rouge_l"))
-    out = long.join(ev.rouge(turns, keys, "text", "ref", [1, 2]), keys, "left")
-    return out.select(*keys, *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rouge1", "rouge2")], "rouge_l")
+    return ev.rouge(turns, keys, "text", "ref", [1, 2]).select(*keys, *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rouge_l")])
 
 
 def paragraph_chunks(spark, sf_dir):

@@ -5,6 +5,7 @@ import hmac
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,26 @@ def test_stream_state_goes_with_the_watermark(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("throttled_late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r["id"] for r in spark.table("throttled_late").collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize(("dense", "inclusive"), [(20, False), (20, True), (3, False)])
+def test_dense_buckets_are_cut(spark, dense, inclusive):
+    rng = random.Random(12)
+    rows = [(i, "hot" if i % 3 else None, 1_700_000_000_000_000 + rng.randrange(2 * 3600 * 1_000_000)) for i in range(900)] + [(9000 + i, "calm", 1_700_000_000_000_000 + i * 86_400_000_000) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, k string, us long").select("id", "k", F.timestamp_micros("us").alias("ts")).repartition(5)
+    last, kept = {}, set()
+    for i, k, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or (us - last[k] >= 30_000_000 if inclusive else us - last[k] > 30_000_000):
+            kept.add(i)
+            last[k] = us
+    assert {r["id"] for r in folds.throttled(df, ["k"], "ts", "id", 30, inclusive, dense=dense).collect()} == kept
+    assert {r["id"] for r in folds.throttled(df, ["k"], "ts", "id", 30, inclusive).collect()} == kept
+
+
+def test_groups_over_many_batches():
+    keys = [1] * 70 + [2] + [3] * 29 + [None] * 40 + [None] * 3
+    table = pa.table({"k": pa.array(keys), "v": list(range(len(keys)))})
+    for size in (1, 7, 70, 1000):
+        pieces = list(folds._whole_groups(iter(table.to_batches(max_chunksize=size)), lambda t: ["k"]))
+        assert pa.concat_tables([p for p, _ in pieces]).to_pydict() == table.to_pydict()
+        assert [len(p) for p, _ in pieces for _ in (0,)] and sum(len(f) for _, f in pieces) == 4
