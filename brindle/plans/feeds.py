@@ -39,11 +39,16 @@ def resource_ancestors(spark, sf_dir):
 
 
 def connector_catalogue(spark, sf_dir):
-    """Kinds by priority; those with the same priority stay in the order of their registration."""
+    """Kinds by priority, those with the same priority in the order of their registration, each with the sources of that kind
+    and the documents that came from them."""
     rows = [(i, name, len(name) % 3) for i, name in enumerate(CONNECTORS)]
     kinds = spark.createDataFrame(rows, "registered int, kind string, priority int")
+    by_source = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int") % len(CONNECTORS)
+    used = by_source.groupBy(number.alias("registered")).agg(F.count("*").alias("sources"), F.sum("n").alias("items"))
+    every = kinds.join(used, "registered", "left").fillna(0, ["sources", "items"])
     order = lk.ordered("priority", "registered")
-    return lk.numbered(kinds, order).select("pos", "kind", "priority")
+    return lk.numbered(every, order).select("pos", "kind", "priority", "sources", "items")
 
 
 def credential_shape(spark, sf_dir):
@@ -156,7 +161,11 @@ SQL = {
     "resource_ancestors": """
 select distinct unnest(['n' || n_nationkey, 'r' || n_regionkey]) as node from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 4 = 1
 """,
-    "connector_catalogue": f"select row_number() over (order by priority, registered)::int as pos, kind, priority from (values {_KINDS}) k(registered, kind, priority)",
+    "connector_catalogue": f"""
+with u as (select try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % {len(CONNECTORS)} as registered, count(distinct source) as sources, count(*) as items from documents group by 1)
+select row_number() over (order by priority, registered)::int as pos, kind, priority, coalesce(sources, 0) as sources, coalesce(items, 0)::bigint as items
+from (values {_KINDS}) k(registered, kind, priority) left join u using (registered)
+""",
     "credential_shape": f"""
 select s_suppkey, kind, case kind when 'feishu' then 'app_secret' when 'lark' then 'app_secret' when 'notion' then case when s_suppkey % 2 = 1 then 'api_key' end
   when 'confluence' then 'api_token' when 'yuque' then null when 'github' then 'access_token' when 'google_drive' then 'access_token' when 'onedrive' then 'access_token'
