@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
-from brindle.llm.common import table, text_or_empty, with_row_key, written
+from brindle.llm.common import small, table, text_or_empty, with_row_key, written
 from brindle.llm.suffixes import sort_suffixes
 from brindle.llm.worker import tidy
 
@@ -43,6 +43,8 @@ LENGTH = 400
 GRAM = 48
 #: Different segments of an anchor that one task orders.
 MOST = 1_024
+#: Texts that hold one segment, beyond which its verdict goes to them.
+HOT = 100_000
 #: Segments whose classes are told apart in one go.
 TOGETHER = 50_000
 
@@ -307,7 +309,19 @@ def _cut_batches(text_at: int, length: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, keep_bytes: bool = True) -> DataFrame:
+def _judged(occur: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Segments with their verdicts. Those that very many texts hold, a few by their number, are judged where they are; the others
+    meet their verdicts by a shuffle."""
+    keys = ["gram", "segment"]
+    often = verdicts.where("hot").drop("hot")
+    if not often.limit(1).count():
+        return occur.join(verdicts.drop("hot"), keys)
+    often = small(often)
+    rest = occur.join(often.select(*keys), keys, "left_anti").join(verdicts.where("not hot").drop("hot"), keys)
+    return occur.join(often, keys).select(*rest.columns).unionByName(rest)
+
+
+def remove_repeats(df: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """``df`` without its text and with n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes that are left)."""
     df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c in RESULTS.fieldNames() and c != text_col})
     df = with_row_key(df.withColumn(text_col, text_or_empty(df, text_col)), *df.columns)
@@ -321,10 +335,10 @@ def remove_repeats(df: DataFrame, *, text_col: str = "text", length: int = LENGT
     wanted = written(wanted, "wanted-segments")
     found = texts.join(wanted, (texts["_r1"] == wanted["r1"]) & (texts["_r2"] == wanted["r2"])).select(text_col, "wanted")
     fetched = written(found.mapInArrow(_fetch_batches(length), _FETCHED), "fetched-segments")
-    whole = distinct.where("n > 1").select("gram", "segment", F.array(F.lit(0), F.col("home.starts")).alias("ranges"))
+    whole = distinct.where("n > 1").select("gram", "segment", F.array(F.lit(0), F.col("home.starts")).alias("ranges"), (F.col("n") > hot).alias("hot"))
     some = _classes(fetched, length, gram, most).join(distinct.where("n = 1").select("gram", "segment"), ["gram", "segment"], "left_semi")
-    verdicts = written(whole.unionByName(some), "verdicts")
-    hits = written(occur.join(verdicts, ["gram", "segment"]).select("r1", "r2", "start", "ranges"), "repeats")
+    verdicts = written(whole.unionByName(some.withColumn("hot", F.lit(False))), "verdicts")
+    hits = written(_judged(occur, verdicts).select("r1", "r2", "start", "ranges"), "repeats")
     of_rows = hits.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "ranges")).alias("found"))
     joined = df.join(of_rows, (df["_r1"] == of_rows["r1"]) & (df["_r2"] == of_rows["r2"]), "left").drop("_r1", "_r2", "r1", "r2")
     fields = [f for f in joined.schema.fields if f.name not in (text_col, "found")]

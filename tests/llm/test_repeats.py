@@ -49,12 +49,12 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "length", "most"), [(1, 100, 4096), (2, 60, 4096), (3, 100, 2), (4, 100, 5), (5, 60, 3)])
-def test_against_every_window(spark, seed, length, most):
+@pytest.mark.parametrize(("seed", "length", "most", "hot"), [(1, 100, 4096, 100_000), (2, 60, 4096, 2), (3, 100, 2, 3), (4, 100, 5, 100_000), (5, 60, 3, 4)])
+def test_against_every_window(spark, seed, length, most, hot):
     texts = corpus(seed)
     rows = [(i, t, "extra") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string").repartition(3)
-    out = repeats.remove_repeats(df, length=length, gram=20, most=most).collect()
+    out = repeats.remove_repeats(df, length=length, gram=20, most=most, hot=hot).collect()
     want = brute(texts, length)
     assert sum(w[1] for w in want) > 1000
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in out} == dict(enumerate(want))
