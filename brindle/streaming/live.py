@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +17,24 @@ def throttled_stream(df: DataFrame, keys: list[str], ts: str, order: str, second
     ``seconds``. State is one timestamp a key; a trigger's events of a key are judged together in the order of their time,
     so limit what a trigger reads. An event older than the last passed one is late and doesn't pass. With ``late``, a
     watermark's delay, a key's state goes when the watermark has passed what it may still hold back."""
-    width = pd.Timedelta(seconds=seconds)
+    width, side = int(seconds * 1_000_000), "left" if inclusive else "right"
 
     def judge(_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = pd.concat(list(frames)).sort_values([ts, order])
-        keep = []
-        for at in rows[ts]:
-            passes = last is None or (at - last >= width if inclusive else at - last > width)
-            keep.append(passes)
-            last = at if passes else last
-        state.update((last.value // 1000,))
+        us = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        last = state.get[0] if state.exists else None
+        keep = np.zeros(len(us), bool)
+        at = 0 if last is None else int(np.searchsorted(us, last + width, side=side))
+        while at < len(us):  # from one event that passes to the next
+            keep[at] = True
+            last = int(us[at])
+            at = max(at + 1, int(np.searchsorted(us, last + width, side=side)))
+        state.update((last,))
         if late is not None:
-            ends = (last + width).value // 1_000_000 + 1
+            ends = (last + width) // 1_000 + 1
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows[keep]
 
