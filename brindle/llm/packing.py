@@ -227,9 +227,7 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    sequences = lambda planned: sum(times for _, times in planned)
-    rest = best_fit(left, capacity)
-    best = (sequences(rest), 0, rest)  # sequences, patterns used, residual
+    rounds = [(0, left.copy())]  # patterns so far and what they leave
     for most, waste in ROUNDS:
         for _ in range(REPEATS):
             before = int(left.sum())
@@ -237,11 +235,13 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             out += rounded(rows, fit_repeats(rows, left), spare, left)
             if before - int(left.sum()) <= before // 20:
                 break
-        rest = best_fit(left, capacity)
-        total = sequences(out) + sequences(rest)
-        if total <= best[0]:
-            best = (total, len(out), rest)
-    return out[: best[1]] + best[2]
+        rounds.append((len(out), left.copy()))
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for used, rest in reversed(rounds):
+        planned = out[:used] + best_fit(rest, capacity)
+        if best is None or sum(times for _, times in planned) < sum(times for _, times in best):
+            best = planned
+    return best
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
