@@ -57,7 +57,9 @@ def ssrf_hosts(spark, sf_dir):
 def address_networks(spark, sf_dir):
     """Customers' addresses of both versions, each with the longest of the nations' networks that holds it."""
     k, n = F.col("c_custkey"), F.col("n_nationkey")
-    four, six = F.format_string("10.%d.%d.%d", k % 4, k % 16, k % 256), F.concat(F.lit("2001:db8:"), F.lower(F.hex(k % 32)), F.lit("::"), F.lower(F.hex(k)))
+    part = lambda at: F.lower(F.hex(F.shiftright(k, at).bitwiseAND(0xFFFF)))  # noqa: E731  (a group holds 16 bits of a key)
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(k % 32)), F.lit("::"), F.concat_ws(":", *[part(at) for at in (48, 32, 16, 0)]))
+    four = F.format_string("10.%d.%d.%d", k % 4, k % 16, k % 256)
     addresses = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, four).when(k % 5 == 0, F.concat(F.lit("::ffff:"), four)).otherwise(six).alias("address"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     texts = F.array(F.format_string("10.%d.%d.7/24", n % 4, n % 8), F.format_string("10.%d.0.0/16", n % 3), F.concat(F.lit("2001:DB8:"), F.hex(n), F.lit("::/48")), F.lit("2001:db8::/36"))
