@@ -12,15 +12,26 @@ from brindle.operators import vector_index as vi
 from brindle.sources.tables import table
 
 
+#: ids that are broadcast; more of them are joined by a shuffle
+LABELS = 2_000_000
+
+
 def keyword_topk(spark, sf_dir):
     """The ten best documents for each benchmark item, by BM25."""
     index = ki.build(table(spark, sf_dir, "documents"), "doc_id", "text")
     return ki.search(index, table(spark, sf_dir, "benchmark"), "item_id", "text", 10).select("item_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
+def _labelled(spark, sf_dir):
+    """Documents of good quality. Their texts stay where they are while the ids are at most ``LABELS``, some 24 bytes each."""
+    good = table(spark, sf_dir, "labels").where("quality >= 1").select("doc_id").distinct()
+    few = good.limit(LABELS + 1).count() <= LABELS
+    return table(spark, sf_dir, "documents").join(F.broadcast(good) if few else good, "doc_id", "left_semi")
+
+
 def faq_ranked(spark, sf_dir):
     """Recommended documents for each benchmark item: by the priority of their sources, then by boosted BM25; thirty of each."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality >= 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = _labelled(spark, sf_dir)
     tier = F.when(F.col("source").isin("src1", "src3"), 1).when(F.col("source").isin("src2", "src4"), 2).otherwise(3)
     found = ki.search(ki.build(docs, "doc_id", "text", group=tier), table(spark, sf_dir, "benchmark"), "item_id", "text", 30)
     pos = F.row_number().over(Window.partitionBy("item_id").orderBy("grp", "rank"))
