@@ -4,8 +4,9 @@ A byte-pair encoding of a prefix ends in exactly one token, the one whose predec
 of the prefix - may stand before it; two tokens may stand side by side when encoding their joined bytes gives just
 these two. So count[i] = count[i - len(t)] + 1 for the last token t of prefix i, and one pass over a piece of text
 gives the count at each of its prefixes. Pieces are runs of blanks with the non-blanks after them; the encoder never
-joins bytes across two pieces, so a text's table is its pieces' tables end to end. Pieces repeat, so each Python
-worker keeps their tables in a bounded map.
+joins bytes across two pieces, so a text's table is its pieces' tables end to end, and a piece's table those of the
+splitting pattern's units but where blanks stand side by side. Pieces and units repeat, so each Python worker keeps
+their tables in bounded maps, from which rare ones go first.
 
 A table is stored as one signed byte a text byte: the change of the count when that byte completes a character (0
 inside a character). Its running sum is the exact count of encode(text[:k]) for every k, so truncation to a budget and
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import textbatch as tb
 from brindle.llm.common import table, text_or_empty
-from brindle.llm.worker import kept, tidy
+from brindle.llm.worker import Recent, kept, tidy
 
 # fixed values: Unicode's white space, and the splitting pattern of this family of byte-level vocabularies
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -40,10 +42,13 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE_SPACE + r"\p{L
 _SPLIT = regex.compile(SPLIT)
 _PIECES = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _LEADING = re.compile(f"[{WHITE_SPACE}]*")
-#: Bytes of pieces' tables, of units' counts and of pairs of tokens that a Python worker keeps, about; each map starts anew
-#: beyond its share. What an entry takes beside its own values: two objects' heads and a place in a map.
-TABLE_BYTES, UNIT_BYTES, PAIR_BYTES = 96 << 20, 32 << 20, 32 << 20
-ENTRY_BYTES = 220
+_BLANKS = frozenset(WHITE_SPACE)
+#: Bytes of pieces' tables, of units' tables and of pairs of tokens that a Python worker keeps, about; pairs start anew beyond
+#: their share. What an entry takes beside its own values: two objects' heads and a place in a map;
+#: a pair is one number and its place.
+TABLE_BYTES, UNIT_BYTES, PAIR_BYTES = 64 << 20, 64 << 20, 32 << 20
+ENTRY_BYTES, PAIR_ENTRY_BYTES = 220, 80
+NO_MERGE = (1 << 62, -1)  # behind every rank
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,25 +80,30 @@ class PrefixCounter:
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
         self.beside: dict[int, bool] = {}
-        self.units: dict[str, list[int]] = {}
         self.alone: dict[int, bool] = {}  # no more than the vocabulary has
-        self.tables: dict[str, bytes] = {}
-        self.unit_bytes = self.table_bytes = 0
+        self.units, self.tables = Recent(UNIT_BYTES, ENTRY_BYTES), Recent(TABLE_BYTES, ENTRY_BYTES)
 
     def merged(self, data: bytes) -> list[int]:
         """Plain byte-pair merging, lowest rank first; used on the bytes of one or two tokens only."""
         ids = [self.ids[data[i : i + 1]] for i in range(len(data))]
-        while len(ids) > 1:
-            best = min(((self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges), default=None)
-            if best is None:
+        merge = self.merges.get
+        ranks = [merge(pair, NO_MERGE) for pair in pairwise(ids)]  # of each id and the next
+        while ranks:
+            best = min(ranks)
+            if best is NO_MERGE:
                 break
-            at = best[1]
-            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
+            at = ranks.index(best)
+            ids[at : at + 2] = [best[1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = merge((ids[at - 1], ids[at]), NO_MERGE)
+            if at < len(ranks):
+                ranks[at] = merge((ids[at], ids[at + 1]), NO_MERGE)
         return ids
 
     def may_stand(self, left: int, right: int) -> bool:
         """Whether encoding the joined bytes of two tokens gives these two (asked once for each pair)."""
-        if len(self.beside) * ENTRY_BYTES > PAIR_BYTES:
+        if len(self.beside) * PAIR_ENTRY_BYTES > PAIR_BYTES:
             self.beside.clear()
         known = self.beside[left << 20 | right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
@@ -127,62 +137,65 @@ class PrefixCounter:
                 count[end] = count[start] + 1
         return count
 
-    def unit_counts(self, unit: str) -> list[int]:
-        counts = self.units.get(unit)
-        if counts is None:
+    def unit_table(self, unit: str) -> bytes:
+        """The table of one unit of the splitting pattern."""
+        found = self.units.get(unit)
+        if found is None:
             data = unit.encode()
             counts = self.prefix_counts(data)
             if unit in ("'re", "'ve", "'ll"):  # cut inside, it is a quote and a letter
                 counts[2] = counts[1] + self.prefix_counts(data[1:2])[1]
+            found = self.steps(data, len(unit), counts)
             if len(unit) <= 64:
-                if self.unit_bytes > UNIT_BYTES:
-                    self.units.clear()
-                    self.unit_bytes = 0
-                self.units[unit] = counts
-                self.unit_bytes += ENTRY_BYTES + 9 * len(counts)
-        return counts
+                self.units.put(unit, found)
+        return found
+
+    @staticmethod
+    def steps(data: bytes, characters: int, counts: list[int]) -> bytes:
+        """The changes of ``counts`` (from 0 on, by bytes) as a table."""
+        if len(data) == characters:
+            return bytes([after - value & 255 for value, after in pairwise(counts)])
+        before, out = 0, []
+        for i, value in enumerate(counts[1:], 1):
+            if i < len(data) and data[i] & 0xC0 == 0x80:  # inside a character
+                out.append(0)
+            else:
+                out.append(value - before & 255)
+                before = value
+        return bytes(out)
+
+    def unit_counts(self, unit: str) -> list[int]:
+        """The running sum of a unit's table, from 0 on."""
+        return [0, *accumulate(x - 256 if x > 127 else x for x in self.unit_table(unit))]
 
     def build(self, piece: str) -> bytes:
         """The table of one piece."""
+        if piece[1:2] not in _BLANKS:  # one blank or none in front: the units' tables end to end
+            return b"".join(map(self.unit_table, _SPLIT.findall(piece)))
         blanks = _LEADING.match(piece)[0]
-        counts = self.unit_counts(blanks)[1:] if blanks else []
-        if len(blanks) < len(piece):
-            base, at, skip = 0, 0, len(counts)
-            if len(blanks) > 1:  # the last blank goes with what follows
-                head = self.unit_counts(blanks[:-1])
-                base, at, skip = head[-1], len(blanks) - 1, len(counts) - len(head) + 1
-            for unit in _SPLIT.findall(piece, at):
+        counts = self.unit_counts(blanks)
+        if len(blanks) < len(piece):  # the last blank goes with what follows
+            head = self.unit_counts(blanks[:-1])
+            base, skip = head[-1], len(counts) - len(head)
+            for unit in _SPLIT.findall(piece, len(blanks) - 1):
                 one = self.unit_counts(unit)
-                counts += [base + x for x in one[1 + skip :]] if base else one[1 + skip :]
+                counts += [base + x for x in one[1 + skip :]]
                 skip = max(0, skip - len(one) + 1)
                 base += one[-1]
-        data, before, steps = piece.encode(), 0, []
-        if len(data) == len(piece):
-            return bytes([after - value & 255 for value, after in zip([0, *counts], counts, strict=False)])
-        for i, value in enumerate(counts, 1):
-            if i < len(data) and data[i] & 0xC0 == 0x80:  # inside a character
-                steps.append(0)
-            else:
-                steps.append(value - before & 255)
-                before = value
-        return bytes(steps)
+        return self.steps(piece.encode(), len(piece), counts)
 
     def table_of(self, piece: str) -> bytes:
         found = self.tables.get(piece)
         if found is None:
-            if self.table_bytes > TABLE_BYTES:
-                self.tables.clear()
-                self.table_bytes = 0
             found = self.build(piece)
             if len(piece) <= 64:
-                self.tables[piece] = found
-                self.table_bytes += ENTRY_BYTES + 2 * len(found)
+                self.tables.put(piece, found)
         return found
 
     def plain(self, text: str) -> bytes:
         """The table of a text without special strings."""
         pieces = _PIECES.findall(text)
-        found = list(map(self.tables.get, pieces))
+        found = list(map(self.tables.young.get, pieces))
         if None in found:
             found = [t if t is not None else self.table_of(p) for p, t in zip(pieces, found, strict=True)]
         return b"".join(found)

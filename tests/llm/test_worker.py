@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from brindle.llm import packing, worker
+from brindle.llm import packing, tokens, worker
 
 
 def test_recent_keeps_what_is_asked_for_again():
@@ -43,3 +43,29 @@ def test_ids_do_not_depend_on_the_bound(monkeypatch, most):
         texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(20)]
         for text, ids in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [0, 20_000, 64 << 20])
+def test_tables_do_not_depend_on_the_bounds_and_common_units_are_cut_once(monkeypatch, most):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name in ("TABLE_BYTES", "UNIT_BYTES", "PAIR_BYTES"):
+        monkeypatch.setattr(tokens, name, most)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = tokens.PrefixCounter(path), Tokenizer.from_file(path)
+    cut, prefix_counts = [], counter.prefix_counts
+    monkeypatch.setattr(counter, "prefix_counts", lambda data: cut.append(data) or prefix_counts(data))
+    rng = random.Random(5)
+    parts = ["  ", " ", "\n", "\n\n", "　", "語", "é", "word", "don't", "'re", "'v", "123", ".,", "<|endoftext|>", "😀", "\t"]
+    for i in range(400):
+        text = "common words again " + "".join(rng.choices(parts, k=rng.randint(0, 12))) + f" rare{rng.randrange(10**6)}"
+        steps = np.frombuffer(counter.text_table(text), np.int8)
+        assert len(steps) == len(text.encode()) and steps.sum() == len(library.encode(text, add_special_tokens=False).ids)
+        if i % 40 == 0:
+            at = rng.randint(0, len(text))
+            if not any(m[:k] == text[max(0, at - k) : at] for m in counter.special for k in range(1, len(m)) if m in text):
+                assert steps[: len(text[:at].encode())].sum() == len(library.encode(text[:at], add_special_tokens=False).ids)
+    if most:
+        assert cut.count(b" words") == 1  # maps that start anew when they are full cut it again
+        assert counter.units.held <= most and counter.tables.held <= most
