@@ -18,10 +18,11 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ KEPT_BYTES = 48 << 20
 #: What a chunk and its ids take beside their own bytes: two objects' heads and a place in a map.
 CHUNK_BYTES = 200
 LETTERS_TOGETHER = 2_000
-_MARKS = b".,;:!?"
+_MARKS = b".,;:!?#$%&*"
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -80,21 +81,33 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
         self.known.add(others, [np.asarray(e.ids, "<u4").tobytes() for e in found])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for text in texts:
-            data = text.encode()
-            split.append((data if b"<|" in data else data.lower()).split())
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. Texts are split, their distinct chunks numbered and the chunks' ids put
+        end to end by Arrow; only distinct chunks become Python objects."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column)))
+        numbered = split.flatten().dictionary_encode()
+        if not len(numbered):
+            return [b""] * len(column)
+        chunks = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         self.known.turn()
-        missing = self.known.missing(set(chain.from_iterable(split)))
+        wanted = set(chunks)
+        wanted.discard(b"")  # before a first blank and behind a last one
+        # marks after a letter or digit are a pre-token of their own, so only the word before them and they are looked up and kept
+        marked = [(c, word, c[len(word) :]) for c in wanted if c[-1] in _MARKS and (word := c.rstrip(_MARKS))[-1:].isalnum()]
+        wanted.difference_update([c for c, _, _ in marked])
+        missing = self.known.missing(wanted.union([word for _, word, _ in marked], [marks for _, _, marks in marked]))
         if missing:
-            # a mark after a letter or digit is a pre-token of its own, so only the word before it needs the library
-            marked = {c for c in missing if c[-1] in _MARKS and c[-2:-1].isalnum()}
-            self._learn(list(self.known.missing(missing - marked | {c[:-1] for c in marked} | {c[-1:] for c in marked})))
-            known, marked = self.known.young, list(marked)
-            self.known.add(marked, [known[c[:-1]] + known[c[-1:]] for c in marked])
-        return [b"".join(map(self.known.young.__getitem__, chunks)) for chunks in split]
+            self._learn(list(missing))
+        known = self.known.young
+        ids = {c: known[c] for c in wanted}
+        ids.update([(c, known[word] + known[marks]) for c, word, marks in marked])
+        ids[b""] = b""
+        whole = pa.array([ids[c] for c in chunks], pa.large_binary()).take(numbered.indices)
+        _, offsets, data = whole.buffers()
+        ends = np.frombuffer(offsets, np.int64)[whole.offset :][split.offsets.to_numpy()].tolist()
+        data = memoryview(data)
+        return [data[a:b].tobytes() for a, b in pairwise(ends)]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -114,7 +127,7 @@ def _piece_batches(text_at: int, path: str, end_id: int, capacity: int, keep_ids
             column = tb.as_strings(batch.column(text_at))
             for a, b in tb.slices(column):
                 rows, piece, start, length, crc, data = [], [], [], [], [], []
-                for i, ids in enumerate(encoder(path).encode(column.slice(a, b - a).to_pylist()), a):
+                for i, ids in enumerate(encoder(path).encode(column.slice(a, b - a)), a):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

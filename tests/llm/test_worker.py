@@ -69,3 +69,15 @@ def test_tables_do_not_depend_on_the_bounds_and_common_units_are_cut_once(monkey
     if most:
         assert cut.count(b" words") == 1  # maps that start anew when they are full cut it again
         assert counter.units.held <= most and counter.tables.held <= most
+
+
+def test_chunks_before_marks_are_kept_once():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    encoder, library = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["", " ", "\n a, b.\t", "a. a, a! A? b; 1: é. x!! y#$%. é&& <|X A, <|endoftext|>. a.\x1f\x85b", "c\x0bd\x0ce\r\nf"]
+    for part in (texts, texts[1:2], texts[:0]):
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(part)]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in part]
+    assert not {b"a.", b"a,", b"a!", b"b;", b"1:", b"x!!", b"y#$%.", b""} & set(encoder.known.young)
