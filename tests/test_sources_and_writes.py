@@ -5,6 +5,7 @@ import ipaddress
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,61 @@ def test_a_sink_publishes_all_or_nothing(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/sink/items/*")) == len(ingestor.published())  # nothing is left behind
 
 
+def test_what_killed_tasks_have_staged_is_taken_back(spark, tmp_path):
+    class Slow(ranges.FolderIngestor):
+        """One task fails when the others have staged their items but have not told of it."""
+
+        def stage(self, *args):
+            rows = list(args[-1])
+            if any(r["id"] == 33 for r in rows):
+                time.sleep(3)
+                raise RuntimeError("broken")
+            name = ranges.FolderIngestor.stage(self, *args[:-1], iter(rows))
+            time.sleep(30)
+            return name
+
+    ingestor = Slow(f"file://{tmp_path}/sink")
+    ranges.register_sink(spark, "slow_items", ingestor)
+    ranges.register_sink(spark, "slow_stream_items", Slow(f"file://{tmp_path}/of_stream"))
+    with pytest.raises(Exception, match="broken"):
+        spark.range(0, 40, 1, 4).write.format("slow_items").mode("append").save()
+    assert ingestor.published() == [] and [f for f in glob.glob(f"{tmp_path}/sink/**", recursive=True) if os.path.isfile(f)] == []
+    spark.range(0, 40, 1, 4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("slow_stream_items")
+    with pytest.raises(Exception, match="broken"):
+        stream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+    assert [f for f in glob.glob(f"{tmp_path}/of_stream/**", recursive=True) if os.path.isfile(f)] == []
+
+
+def test_a_job_that_was_taken_back_stages_nothing_more_and_others_stay(tmp_path):
+    ingestor = ranges.FolderIngestor(f"file://{tmp_path}/sink")
+    for job in ("one", "two"):
+        ingestor.begin(job)
+    lost, told = (ingestor.stage("one", iter([{"id": i}])) for i in range(2))
+    other = ingestor.stage("two", iter([{"id": 2}]))
+    ingestor.publish("one", [told], None)
+    assert items(ingestor) == [1] and lost not in " ".join(glob.glob(f"{tmp_path}/sink/**", recursive=True))
+    with pytest.raises(OSError):
+        ingestor.stage("one", iter([{"id": 3}]))
+    ingestor.publish("two", [other], None)
+    assert items(ingestor) == [1, 2] and os.listdir(f"{tmp_path}/sink/staged") == []
+    ingestor.begin("three")
+    kept = ingestor.stage("three", iter([{"id": 4}]))
+    with pytest.raises(OSError):
+        ingestor.publish("three", [kept, "missing.jsonl"], None)
+    ingestor.discard("three")
+    assert items(ingestor) == [1, 2] and len(os.listdir(f"{tmp_path}/sink/items")) == 2
+
+
+def test_a_stream_of_several_batches_is_published_whole(spark, tmp_path):
+    ingestor = ranges.FolderIngestor(f"file://{tmp_path}/sink")
+    ranges.register_sink(spark, "more_items", ingestor)
+    spark.range(0, 30, 1, 3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").writeStream.format("more_items")
+    stream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+    assert items(ingestor) == list(range(30)) and len(os.listdir(f"{tmp_path}/sink/manifests")) == 3
+
+
 def test_a_streams_batch_is_published_once(spark, tmp_path):
     ingestor = ranges.FolderIngestor(f"file://{tmp_path}/sink")
     ranges.register_sink(spark, "stream_items", ingestor)
